@@ -385,9 +385,9 @@ def agg_ordered_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _read(spark, sf_dir, "orders").groupBy("o_custkey").agg(scalar.group_concat(F.col("o_orderkey"), ",", F.col("o_orderkey")).alias("joined"))
 
 
-@_query("SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^[A-M].*E.$')")
+@_query("SELECT p_partkey FROM part WHERE regexp_matches(p_type, '^[L-Z].*A..*$')")
 def predicate_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "part").where(scalar.glob(F.col("p_type"), "[A-M]*E?")).select("p_partkey")
+    return _read(spark, sf_dir, "part").where(scalar.glob(F.col("p_type"), "[L-Z]*A?*")).select("p_partkey")
 
 
 @_query("SELECT o_orderkey, CASE WHEN nullif(o_orderkey % 4, 0) IS NULL THEN NULL ELSE greatest(o_orderkey % 4, o_custkey % 4) END AS high FROM orders")
