@@ -50,6 +50,7 @@ class Layout:
 
     symbols: np.ndarray
     chunk_start: np.ndarray  # into the positions of the convolution
+    chunk_end: np.ndarray  # windows begin before it, and so inside their own text
     chunk_text: np.ndarray
     n_texts: int
 
@@ -60,13 +61,20 @@ def lay_out(column: pa.Array) -> Layout:
     lengths = np.diff(offsets)
     room = np.maximum(lengths, 1) + WIDTH - 1
     start = np.cumsum(room) - room
-    out = np.zeros(int(room.sum()), np.int32)
+    out = np.zeros(int(room.sum()) + 1, np.int32)
     place = np.arange(len(data)) + np.repeat(start - offsets[:-1], lengths)
     out[place] = symbols(data)
     chunks = -(-np.maximum(lengths, 1) // CHUNK)
     text = np.repeat(np.arange(n), chunks)
     first = np.cumsum(chunks) - chunks
-    return Layout(out, start[text] + (np.arange(len(text)) - first[text]) * CHUNK, text, n)
+    begin = start[text] + (np.arange(len(text)) - first[text]) * CHUNK
+    return Layout(out, begin, np.minimum(begin + CHUNK, (start + np.maximum(lengths, 1))[text]), text, n)
+
+
+def chunk_maxima(responses: np.ndarray, lay: Layout) -> np.ndarray:
+    """[chunks, FILTERS]: the largest response inside each chunk."""
+    edges = np.stack([lay.chunk_start, lay.chunk_end], 1).ravel()
+    return np.maximum.reduceat(responses, edges, axis=1)[:, ::2].T
 
 
 @dataclass
@@ -96,7 +104,7 @@ class Network:
 
     def pool(self, lay: Layout, tables: np.ndarray) -> np.ndarray:
         """[chunks, FILTERS]: the maximum, rectified. A chunk's windows reach WIDTH - 1 bytes into the next."""
-        return np.maximum(np.maximum.reduceat(self.respond(lay, tables), lay.chunk_start, axis=1).T + self.shift, 0)
+        return np.maximum(chunk_maxima(self.respond(lay, tables), lay) + self.shift, 0)
 
     def combine(self, pooled: np.ndarray, lay: Layout) -> np.ndarray:
         """[texts, 2 * FILTERS]: maximum and mean over the chunks of each text."""
@@ -138,14 +146,15 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 64, seed
             lay = lay_out(column.take(pa.array(pick)))
             tables = net.tables()
             r = net.respond(lay, tables)
-            top = np.maximum.reduceat(r, lay.chunk_start, axis=1).T
+            top = chunk_maxima(r, lay)
             # the winning position of each chunk and filter
-            size = np.diff(np.append(lay.chunk_start, r.shape[1]))
-            where = np.zeros(top.shape, np.int64)
+            size = lay.chunk_end - lay.chunk_start
             owner = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(owner)) + np.repeat(lay.chunk_start - (np.cumsum(size) - size), size)
+            where = np.zeros(top.shape, np.int64)
             for f in range(FILTERS):
-                hit = np.flatnonzero(r[f] == top[owner, f])
-                where[owner[hit][::-1], f] = hit[::-1]
+                hit = np.flatnonzero(r[f, place] == top[owner, f])[::-1]
+                where[owner[hit], f] = place[hit]
             pooled = np.maximum(top + net.shift, 0)
             x = net.combine(pooled, lay)
             p = 1 / (1 + np.exp(-(x @ net.head + net.bias)))
