@@ -41,7 +41,6 @@ def encode(key: Column) -> Column:
 
 def decode(flat: Column) -> Column:
     """The array<binary> that encode() wrote."""
-    spaced = F.regexp_replace(F.hex(flat), "(..)", "$1 ")
-    marked = F.replace(F.replace(spaced, F.lit("00 01 "), F.lit("zz ")), F.lit("00 00 "), F.lit("|"))
-    parts = F.split(F.regexp_replace(marked, r"\|$", ""), r"\|")
-    return F.transform(parts, lambda p: F.unhex(F.replace(F.replace(p, F.lit("zz "), F.lit("00")), F.lit(" "), F.lit(""))))
+    pieces = F.regexp_extract_all(F.regexp_replace(F.hex(flat), "(..)", "$1 "), F.lit("(00 01 |00 00 |.. )"), F.lit(1))
+    plain = F.transform(pieces, lambda p: F.when(p == "00 01 ", "00").when(p == "00 00 ", "|").otherwise(F.rtrim(p)))
+    return F.transform(F.split(F.regexp_replace(F.array_join(plain, ""), r"\|$", ""), r"\|"), F.unhex)

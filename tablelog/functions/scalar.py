@@ -29,7 +29,7 @@ def _any_null(columns) -> Column:
 
 def unicode_of(text: Column) -> Column:
     """The code point of the first character, null for empty text."""
-    return F.when(F.length(text) > 0, F.conv(F.hex(F.encode(F.substring(text, 1, 1), "UTF-32BE")), 16, 10).cast("bigint"))
+    return F.when(F.length(text) > 0, F.conv(F.hex(F.encode(F.substring(text, 1, 1), "UTF-32")), 16, 10).cast("bigint"))
 
 
 def zeroblob(n: Column) -> Column:

@@ -9,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 from tablelog.operators import changes as algebra
-from tablelog.plans.dialect import UnsupportedSql, classify, split_statements, to_spark
+from tablelog.plans.dialect import UnsupportedSql, classify, split_statements, to_spark, tokens
 from tablelog.sources.tables import TableStore, VersionConflict
 
 RESERVED = "__tablelog__"
@@ -56,10 +56,11 @@ class Connection:
             raise UnsupportedSql("reserved tables can't be read")
         version = self.store.version() if version is None else version
         session = self.spark.newSession()
+        words = {t.strip('"`[]').lower() for t in tokens(sql)}
         for name in self.store.tables(version):
             session.read.parquet(self.store.manifest(version)["tables"][name]).createOrReplaceTempView(name)
         for name, body in self.store.manifest(version)["catalog"].items():
-            if name.startswith("view:") and body:
+            if name.startswith("view:") and body and name[5:].lower() in words:
                 session.sql(to_spark(body)).createOrReplaceTempView(name[5:])
         return session.sql(to_spark(sql), args=args) if args else session.sql(to_spark(sql))
 
