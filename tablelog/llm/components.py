@@ -1,4 +1,4 @@
-"""Connected components of an edge table by least labels, without gathering it anywhere."""
+"""Connected components of an edge table by contraction, without gathering it anywhere."""
 
 from __future__ import annotations
 
@@ -8,21 +8,26 @@ from tablelog.llm.store import discard, written
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label) of every node of `edges` (a, b): the least node that it reaches.
+    """(node, label) of every node of `edges` (a, b); nodes that reach each other share a label, which is one of them.
 
-    Each round takes the least label around a node and then the label of that
-    label, so rounds grow with the logarithm of the longest path.
+    Each round every node moves to the neighbour of least hashed id (and to that
+    one's own choice), and edges are rewritten to where their ends moved, until
+    none is left. Hashing makes chains of choices short whatever the ids, so
+    rounds grow with the logarithm of the nodes.
     """
-    both = written(edges.select("a", "b").union(edges.select("b", "a")).distinct())
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("label")).select("node", F.least("node", "label").alias("label")))
-    while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        nearer = labels.join(around, "node").select("node", F.least("label", "near").alias("near"), "label")
-        up = nearer.select(F.col("node").alias("near"), F.col("near").alias("top"))
-        nxt = written(nearer.join(up, "near").select("node", F.least("near", "top").alias("label"), (F.least("near", "top") < F.col("label")).alias("moved")))
-        moved = nxt.where("moved").limit(1).count()
-        discard(labels)
-        labels = nxt
-        if not moved:
-            discard(both)
-            return labels.select("node", "label")
+    links = written(edges.select("a", "b").where("a <> b").distinct())
+    labels = links.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("label"))
+    held: list[DataFrame] = []
+    while links.limit(1).count():
+        rank = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+        ends = links.select(F.col("a").alias("node"), rank("b").alias("to")).unionByName(links.select(F.col("b").alias("node"), rank("a").alias("to")))
+        near = ends.groupBy("node").agg(F.least(F.min("to"), rank("node")).alias("to")).select("node", F.col("to.id").alias("to"))
+        near = written(near)
+        far = near.select(F.col("node").alias("to"), F.col("to").alias("top"))
+        move = written(near.join(far, "to").select("node", F.col("top").alias("to")))
+        at_a, at_b = move.select(F.col("node").alias("a"), F.col("to").alias("x")), move.select(F.col("node").alias("b"), F.col("to").alias("y"))
+        after = written(links.join(at_a, "a").join(at_b, "b").where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
+        labels = written(labels.join(move.select(F.col("node").alias("label"), "to"), "label", "left").select("node", F.coalesce("to", "label").alias("label")))
+        discard(links, near, move, *held)
+        links, held = after, [labels]
+    return labels

@@ -238,31 +238,30 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def resolve(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that connect a group's documents exactly as all their links do.
+    """Edges that connect a group's documents exactly as all their links do: each cluster a star around its least node.
 
     Documents come smallest first. Each cluster has the union of its shingles;
     a document that can't share four fifths of itself with it leaves it shut.
     """
     order = sorted(range(len(nodes)), key=lambda k: (len(sets[k]), nodes[k]))
     clusters: list[tuple[list[int], np.ndarray]] = []
-    edges = []
     for q in order:
         s = sets[q]
         need = -(-4 * len(s) // 5)
         mine, union, rest = [q], s, []
         for members, tokens in clusters:
-            hit = None
-            if overlap(s, tokens) >= need:
-                hit = next((m for m in reversed(members) if linked(sets[m], s)), None)
-            if hit is None:
-                rest.append((members, tokens))
-            else:
-                edges.append((nodes[q], nodes[hit]))
+            if overlap(s, tokens) >= need and any(linked(sets[m], s) for m in reversed(members)):
                 mine = members + mine
                 union = np.union1d(union, tokens)
+            else:
+                rest.append((members, tokens))
         rest.append((mine, union))
         clusters = rest
-    return edges
+    out = []
+    for members, _ in clusters:
+        centre = min(nodes[m] for m in members)
+        out += [(nodes[m], centre) for m in members if nodes[m] != centre]
+    return out
 
 
 def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,10 +317,13 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     grouped = written(salted.union(salted.select("leader", "salt", F.col("leader").alias("node")).distinct()))
     opened = grouped.join(sets, "node").select("leader", "salt", "node", "set").repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt")
     edges = written(opened.mapInArrow(_open_groups, "a long, b long"))
+    labels = components(edges)
     for whole in (False, True):
-        labels = written(components(edges))
         open_ = written(meeting.join(labels, "node", "left").select("list", "node", F.coalesce("label", "node").alias("label")))
-        mixed = open_.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", "label").alias("head")).where("low < high")
+        mixed = written(open_.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", "label").alias("head")).where("low < high"))
+        if not mixed.limit(1).count():
+            discard(open_, mixed)
+            break
         if whole:
             sized = open_.join(mixed.select("list"), "list", "left_semi").join(sets.select("node", "n"), "node")
             other = sized.select("list", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
@@ -330,9 +332,10 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
             pairs = open_.join(mixed, "list").where("label > low").groupBy("list", "label").agg(F.min("head").alias("a"), F.min("node").alias("b")).select("a", "b").distinct()
         new = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
         more = written(edges.union(new))
-        discard(edges, labels, open_)
+        discard(edges, labels, open_, mixed)
         edges = more
-    labels = written(components(edges))
+        labels = components(edges)
+    labels = written(labels)
     of_label = labels.join(classes, "node").groupBy("label").agg(F.min("least").alias("component"))
     found = written(classes.join(labels, "node", "left").join(of_label, "label", "left").select("sig", F.coalesce("component", "least").alias("component")))
     discard(edges, meeting, members, grouped, sets, classes)
