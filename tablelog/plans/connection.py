@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from concurrent.futures import Future, ThreadPoolExecutor
 from contextlib import contextmanager
@@ -25,6 +26,7 @@ class Transaction:
     def __init__(self, store: TableStore, version: int):
         self.store, self.version = store, version
         self.staged: dict[str, DataFrame | None] = {}
+        self.catalog: dict = {}
         self.read_tables: set[str] = set()
 
     def table(self, name: str) -> DataFrame:
@@ -38,6 +40,23 @@ class Transaction:
     def drop(self, name: str) -> None:
         self.staged[name] = None
 
+    def entry(self, key: str):
+        return self.entries().get(key)
+
+    def entries(self) -> dict:
+        return self.store.manifest(self.version)["catalog"] | self.catalog
+
+    def set_entry(self, key: str, value) -> None:
+        self.catalog[key] = value
+
+    def execute(self, sql: str, args: list | None = None) -> DataFrame | None:
+        """A definition or modification statement; rows only for RETURNING."""
+        from tablelog.plans.executor import Executor
+
+        if classify(sql) == "read":
+            raise ModeError("execute() takes statements that write")
+        return Executor(self.store.spark, self, args).run(sql)
+
     def change(self, name: str, changes: DataFrame, keys: list[str]) -> None:
         """Apply changes to a table's staged image."""
         self.put(name, algebra.apply(self.table(name), changes, keys))
@@ -57,13 +76,39 @@ class Connection:
         version = self.store.version() if version is None else version
         session = self.spark.newSession()
         words = {t.strip('"`[]').lower() for t in tokens(sql)}
-        for name in self.store.tables(version):
-            session.read.parquet(self.store.manifest(version)["tables"][name]).createOrReplaceTempView(name)
-        for name, body in self.store.manifest(version)["catalog"].items():
+        from tablelog.plans.executor import Definition
+
+        manifest = self.store.manifest(version)
+        for name, path in manifest["tables"].items():
+            if name.lower() in words or any(k.startswith("view:") and v for k, v in manifest["catalog"].items()):
+                rows, defined = session.read.parquet(path), manifest["catalog"].get(f"table:{name}")
+                (Definition(json.loads(defined)).project(rows) if defined else rows).createOrReplaceTempView(name)
+        for name, body in manifest["catalog"].items():
             if name.startswith("view:") and body and name[5:].lower() in words:
                 session.sql(to_spark(body)).createOrReplaceTempView(name[5:])
         return session.sql(to_spark(sql), args=args) if args else session.sql(to_spark(sql))
 
+    def execute(self, sql: str, args: list | None = None) -> DataFrame | None:
+        """One writing statement as its own transaction; rows only for RETURNING."""
+        return self.update(lambda t: t.execute(sql, args))
+
+    def pragma(self, name: str, table: str | None = None) -> DataFrame:
+        """table_info, index_list, foreign_key_list of a table, or user_version."""
+        from tablelog.plans.executor import Definition
+
+        catalog = self.store.manifest()["catalog"]
+        if name == "user_version":
+            return self.spark.createDataFrame([(int(catalog.get("user_version") or 0),)], "user_version int")
+        d = Definition(json.loads(catalog[f"table:{table.lower()}"]))
+        if name == "table_info":
+            return self.spark.createDataFrame([(n, c["name"], c["declared"], int(c["not_null"]), c["default"], d.key.index(c["name"]) + 1 if c["name"] in d.key else 0) for n, c in enumerate(d.columns)], "cid int, name string, type string, `notnull` int, dflt_value string, pk int")
+        if name == "index_list":
+            rows = [(u["name"] or f"unique_{n}", 1) for n, u in enumerate(d.body["uniques"])] + [(i["name"], 0) for i in d.body.get("indexes", [])]
+            return self.spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "seq int, name string, `unique` int")
+        if name == "foreign_key_list":
+            return self.spark.createDataFrame([(n, k, r["parent"], c, p, r["on_update"], r["on_delete"]) for n, r in enumerate(d.body["references"]) for k, (c, p) in enumerate(zip(r["columns"], r["parent_columns"]))], "id int, seq int, `table` string, `from` string, `to` string, on_update string, on_delete string")
+        raise UnsupportedSql(f"PRAGMA {name} isn't supported")
+
     def create_view(self, name: str, body: str) -> None:
         if classify(body) != "read" or "?" in body:
             raise UnsupportedSql("a view is a SELECT without parameters")
@@ -84,8 +129,8 @@ class Connection:
             txn = Transaction(self.store, self.store.version())
             result = work(txn)
             try:
-                if txn.staged:
-                    self.store.commit(txn.version, txn.staged)
+                if txn.staged or txn.catalog:
+                    self.store.commit(txn.version, txn.staged, txn.catalog)
                 return result
             except VersionConflict:
                 if not retries:
