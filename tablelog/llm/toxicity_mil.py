@@ -103,14 +103,18 @@ def fit(texts: list[str], y: np.ndarray, features: int = 4000, least: int = 3, s
     none = Model(np.zeros((1 << BITS) + 1, np.float32), 0.0, float(y.mean()) if len(y) else 0.0)
     if not len(y) or y.min() == y.max():
         return none
-    s = split(pa.array(texts, pa.string()))
-    doc = s.text[s.sentence]
     n, m = len(y), 1 << BITS
-    slot, at = s.features.ravel(), np.repeat(doc, s.features.shape[1])
-    pair = np.unique(slot[slot >= 0] * n + at[slot >= 0])  # distinct (slot, text)
-    owner = pair % n
-    pos = np.bincount(pair // n, y[owner], m)
-    neg = np.bincount(pair // n, 1 - y[owner], m)
+    column = pa.array(texts, pa.string())
+    parts = list(slices(column, 1 << 20))  # memory follows a slice, not the sample
+    pos, neg = np.zeros(m), np.zeros(m)
+    for a, b in parts:
+        s = split(column.slice(a, b - a))
+        slot = s.features.ravel()
+        at = np.repeat(s.text[s.sentence], s.features.shape[1])
+        pair = np.unique(slot[slot >= 0] * (b - a) + at[slot >= 0])  # distinct (slot, text)
+        truth = y[a:b][pair % (b - a)]
+        pos += np.bincount(pair // (b - a), truth, m)
+        neg += np.bincount(pair // (b - a), 1 - truth, m)
     n1, n0 = y.sum(), n - y.sum()
     tied = np.log((pos + 0.5) / (n1 + 1)) - np.log((neg + 0.5) / (n0 + 1))
     worth = np.where((pos >= max(least, 0.01 * n1)) & (tied > 1), pos * tied, 0)
@@ -118,17 +122,23 @@ def fit(texts: list[str], y: np.ndarray, features: int = 4000, least: int = 3, s
     top = top[worth[top] > 0]
     index = np.full(m + 1, -1, np.int64)
     index[top] = np.arange(len(top))
-    column = index[np.where(slot >= 0, slot, m)]
-    row = np.repeat(s.sentence, s.features.shape[1])[column >= 0]
-    column = column[column >= 0]
+    rows, columns, owners, seen = [], [], [], 0
+    for a, b in parts:
+        s = split(column.slice(a, b - a))
+        c = index[np.where(s.features >= 0, s.features, m)].ravel()
+        rows.append(np.repeat(s.sentence, s.features.shape[1])[c >= 0] + seen)
+        columns.append(c[c >= 0])
+        owners.append(s.text + a)
+        seen += len(s.text)
+    row, column, text = np.concatenate(rows), np.concatenate(columns), np.concatenate(owners)
     w, bias = np.zeros(len(top)), -4.0
     g2, gb2 = np.full(len(top), 1e-8), 1e-8
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     for step in range(steps):
-        z = bias + np.bincount(row, w[column], len(s.text))
-        a = np.bincount(s.text, np.logaddexp(0, z), n)
+        z = bias + np.bincount(row, w[column], len(text))
+        a = np.bincount(text, np.logaddexp(0, z), n)
         slope = np.where(y == 1, -1 / np.expm1(np.maximum(a, 1e-6)), 1.0) * weight
-        dz = slope[s.text] / (1 + np.exp(-z))
+        dz = slope[text] / (1 + np.exp(-z))
         gw, gb = np.bincount(column, dz[row], len(top)), dz.sum()
         g2, gb2 = g2 + gw * gw, gb2 + gb * gb
         rate = 0.3 / np.sqrt(g2)
@@ -140,7 +150,7 @@ def fit(texts: list[str], y: np.ndarray, features: int = 4000, least: int = 3, s
     return Model(full, float(bias))
 
 
-def train(documents: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 65536, id_column: str = "doc_id", text_column: str = "text") -> Model:
+def train(documents: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 32768, id_column: str = "doc_id", text_column: str = "text") -> Model:
     """Fit on a bounded sample: about `per_class` labelled rows a class outside the held-out fold, texts of `most_bytes` at most; equal texts count once."""
     rows = labelled_rows(documents, labels, "toxic", per_class, most_bytes, id_column, text_column).orderBy("id").toPandas()
     rows = rows.drop_duplicates("text")
