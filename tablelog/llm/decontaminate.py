@@ -137,7 +137,7 @@ def matches(text: bytes, items: Items, automaton) -> list[tuple[int, int, int, i
     return sorted(out)
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", items_at_once: int = 20_000) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", items_at_once: int = 20_000) -> DataFrame:
     """Per document and item that occurs in it: id, item, distance, start and end (UTF-8 bytes of the text).
 
     `items_at_once` bounds what is broadcast; more items take further scans.
@@ -183,7 +183,7 @@ def _scanner(shared):
     return run
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.05, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", items_at_once: int = 20_000) -> DataFrame:
+def keep_clean(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", items_at_once: int = 20_000) -> DataFrame:
     """The rows of `documents`, all columns, in which no item occurs; nothing is shuffled.
 
     More than `items_at_once` items are held against the rows in turn, in one stage.
