@@ -520,6 +520,102 @@ def store_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.query("SELECT o_orderkey, o_custkey FROM orders")
 
 
+# --- replicas, recursion, stores and statements
+
+@_query("WITH RECURSIVE near(k) AS (SELECT 0 UNION SELECT (k * k + 1) % 25 FROM near) SELECT k, n_name FROM near JOIN nation ON n_nationkey = k")
+def recursion_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablelog.operators.recursion import fixpoint
+
+    reached = fixpoint(spark.range(1).select(F.lit(0).alias("k")), lambda new: new.select(((F.col("k") * F.col("k") + 1) % 25).alias("k")))
+    return reached.join(_read(spark, sf_dir, "nation"), F.col("k") == F.col("n_nationkey")).select("k", "n_name")
+
+
+def _foreign(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Customers, and a log of two changes for every third of them by devices 0 to 2."""
+    c = _read(spark, sf_dir, "customer").select("c_custkey", "c_name")
+    k = F.col("c_custkey")
+    image = lambda name: F.struct(k.alias("c_custkey"), name.alias("c_name"))
+    base = c.where(k % 3 == 0)
+    one = base.select((k * 2).alias("admission_seq"), (k % 2 + 1).alias("device"), image(F.col("c_name")).alias("before"), image(F.concat("c_name", F.lit("!"))).alias("after"))
+    last = F.when(k % 4 != 0, image(F.lit("gone over")))
+    two = base.select((k * 2 + 1).alias("admission_seq"), (k % 2 + 1).alias("device"), image(F.concat("c_name", F.lit("!"))).alias("before"), last.alias("after"))
+    return c, one.unionByName(two)
+
+
+@_query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 2 = 1 THEN 'gone over' ELSE c_name END AS c_name FROM customer WHERE NOT (c_custkey % 3 = 0 AND c_custkey % 2 = 1 AND c_custkey % 4 = 0)")
+def replica_rebase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablelog.operators.replicate import rebase
+
+    table, foreign = _foreign(spark, sf_dir)
+    return rebase(table, foreign, 1, ["c_custkey"])
+
+
+@_query("SELECT c_custkey, c_name FROM customer")
+def replica_roll_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablelog.operators.replicate import rebase, roll_back
+
+    table, foreign = _foreign(spark, sf_dir)
+    done = rebase(table, foreign, -1, ["c_custkey"])
+    return roll_back(done, foreign.withColumnRenamed("admission_seq", "ordinal"), ["c_custkey"])
+
+
+@_query("SELECT event_id % 97 AS device_seq, event_id % 3 AS device FROM events WHERE event_id % 97 >= 50 GROUP BY 1, 2")
+def replica_submit_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablelog.operators.replicate import once
+
+    rows = _read(spark, sf_dir, "events").select((F.col("event_id") % 97).alias("device_seq"), (F.col("event_id") % 3).alias("device"))
+    return once(rows, rows.where("device_seq < 50"))
+
+
+@_query("WITH f AS (SELECT event_id AS txn, user_id, event_id - 100 AS frontier FROM events WHERE event_id % 20 = 0), h AS (SELECT event_id AS commit_seq, user_id FROM events WHERE event_id % 4 = 1), r AS (SELECT txn, CAST(row_number() OVER (ORDER BY txn) AS INTEGER) AS place FROM f) SELECT r.txn, r.place, CAST(floor((r.place - 1) / 32) AS BIGINT) AS grp, EXISTS (SELECT 1 FROM f JOIN h ON h.user_id = f.user_id AND h.commit_seq > f.frontier AND h.commit_seq <> f.txn WHERE f.txn = r.txn) AS refused FROM r")
+def group_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tablelog.operators import recursion
+
+    e, user = _read(spark, sf_dir, "events"), F.array(F.col("user_id").cast("string"))
+    own = e.where("event_id % 20 = 0")
+    footprints = own.select(F.col("event_id").alias("txn"), F.lit("read").alias("kind"), user.alias("prefix"), (F.col("event_id") - 100).alias("frontier"))
+    history = e.where("event_id % 4 = 1").select(F.col("event_id").alias("commit_seq"), F.col("event_id").alias("writer"), user.alias("region"), F.lit(False).alias("wide"))
+    proposals = own.select(F.col("event_id").alias("txn"), F.lit(0).alias("space"), F.col("event_id").alias("arrival"))
+    return recursion.group_commit(proposals, footprints, history).withColumnRenamed("group", "grp")
+
+
+@_query("SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_mktsegment = 'BUILDING' ORDER BY k")
+def ordered_prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    from tablelog.sources.ordered import OrderedStore
+
+    kv = OrderedStore(spark, f"{_shared(spark)}/cells-{uuid.uuid4().hex}")
+    text = lambda c: F.encode(c.cast("string"), "utf-8")
+    kv.apply(_read(spark, sf_dir, "customer").select(F.array(text(F.col("c_mktsegment")), text(F.col("c_custkey"))).alias("key"), text(F.col("c_name")).alias("value"), F.lit(0).alias("ordinal")))
+    return kv.scan_prefix([b"BUILDING"]).select(F.decode(F.col("key")[1], "utf-8").cast("bigint").alias("k"), F.decode("value", "utf-8").alias("v"))
+
+
+@_query("SELECT s_suppkey AS id, upper(s_name) AS name, s_acctbal + 1 AS balance FROM supplier WHERE s_suppkey % 2 = 0 UNION ALL SELECT s_suppkey, 'odd', NULL FROM supplier WHERE s_suppkey % 2 = 1 AND s_suppkey > 5")
+def statements_over_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definition, upsert, update and delete statements of one transaction, read back."""
+    import uuid
+
+    from tablelog.plans.connection import Connection
+
+    c = Connection(spark, f"{_shared(spark)}/store-{uuid.uuid4().hex}")
+
+    def work(t) -> None:
+        t.execute("CREATE TABLE given (id INTEGER PRIMARY KEY, name TEXT, balance REAL)")
+        rows = _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("balance"))
+        from tablelog.plans.executor import Executor
+
+        t.put("given", Executor(spark, t).definition("given").store(rows))
+        t.execute("CREATE TABLE s (id INTEGER PRIMARY KEY, name TEXT NOT NULL DEFAULT 'odd', balance REAL)")
+        t.execute("INSERT INTO s (id) SELECT id FROM given")
+        t.execute("INSERT INTO s SELECT id, name, balance FROM given WHERE id % 2 = 0 ON CONFLICT (id) DO UPDATE SET name = upper(excluded.name), balance = excluded.balance")
+        t.execute("UPDATE s SET balance = balance + 1 WHERE balance IS NOT NULL")
+        t.execute("DELETE FROM s WHERE id IN (SELECT id FROM given WHERE id <= 5) AND name = 'odd'")
+
+    c.update(work)
+    return c.query("SELECT id, name, balance FROM s")
+
+
 def queries() -> dict:
     return {**{n: query_surface.query(n) for n in query_surface.TWINS}, **_QUERIES}
 

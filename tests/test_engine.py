@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from tablelog.functions import keys, scalar, values
 from tablelog.functions.integrity import hmac_sha256
-from tablelog.operators import changes, coordination, dml, integrity, log, windows
+from tablelog.operators import changes, coordination, dml, integrity, log, recursion, replicate, windows
 from tablelog.plans import catalog, dialect
 from tablelog.plans.connection import Connection, ModeError, format_table
+from tablelog.sources.ordered import OrderedStore
 from tablelog.sources.tables import TableStore, VersionConflict
 
 LOG = "admission_seq long, op_index int, device long, ver long, op string, key array<string>, range array<string>, value double"
@@ -193,6 +194,49 @@ def test_dialect_runs(spark):
     assert (got.m, got.k, got.i, got.g, got.l) == (None, 2, "y", True, True)
 
 
+def test_dialect_tables_and_hints(spark):
+    session = spark.newSession()
+    session.sql("SELECT 1 AS a UNION ALL SELECT 2").createOrReplaceTempView("one_two")
+    sql = "SELECT typeof(a) AS t, typeof('x') AS s, typeof(NULL) AS n FROM one_two INDEXED BY some_index WHERE a IN one_two AND 'abc' REGEXP '^a' LIMIT 1"
+    assert tuple(session.sql(dialect.to_spark(sql)).first()) == ("integer", "text", "null")
+    assert session.sql(dialect.to_spark("EXPLAIN QUERY PLAN SELECT a FROM one_two")).count() == 1
+
+
+def test_ordered_store(spark, tmp_path):
+    kv = OrderedStore(spark, f"file://{tmp_path}/kv")
+    cells = [([b"a"], b"1"), ([b"a", b"x"], b"2"), ([b"a\x00"], b"3"), ([b"b", b"\x00\x01"], b"4"), ([b"b"], b"5")]
+    kv.apply(spark.createDataFrame([(k, v, n) for n, (k, v) in enumerate(cells)], "key array<binary>, value binary, ordinal int"))
+    kv.apply(spark.createDataFrame([([b"b"], b"6", 0), ([b"b"], None, 1), ([b"c"], b"7", 2)], "key array<binary>, value binary, ordinal int"))
+    read = lambda df: [([bytes(c) for c in r.key], bytes(r.value)) for r in df.collect()]
+    assert read(kv.scan(None, None)) == [([b"a"], b"1"), ([b"a", b"x"], b"2"), ([b"a\x00"], b"3"), ([b"b", b"\x00\x01"], b"4"), ([b"c"], b"7")]
+    assert read(kv.scan_prefix([b"a"])) == [([b"a"], b"1"), ([b"a", b"x"], b"2")]
+    assert read(kv.get([b"c"])) == [([b"c"], b"7")] and read(kv.scan([b"a", b"x"], [b"b"])) == [([b"a", b"x"], b"2"), ([b"a\x00"], b"3")]
+
+
+def test_replicas(spark):
+    c = replicate.Cursors().append(5).applied(3).trim(2)
+    assert (c.head, c.neck, c.tail) == (2, 3, 5)
+    with pytest.raises(replicate.CursorError):
+        c.trim(4)
+    image = "struct<id:bigint,v:string>"
+    table = spark.createDataFrame([(1, "a"), (2, "mine")], "id long, v string")
+    foreign = spark.createDataFrame([(1, 7, None, (3, "c")), (2, 7, (3, "c"), (3, "d")), (3, 0, (2, "b"), (2, "mine")), (4, 8, (1, "a"), None)], f"admission_seq long, device long, before {image}, after {image}")
+    assert sorted(map(tuple, replicate.rebase(table, foreign, 0, ["id"]).collect())) == [(2, "mine"), (3, "d")]
+    pending = spark.createDataFrame([("t1", 1, (2, "b"), (2, "x")), ("t1", 2, (2, "x"), (2, "mine")), ("t2", 3, (1, "z"), (1, "a"))], f"txn string, ordinal long, before {image}, after {image}")
+    assert sorted(map(tuple, replicate.roll_back(table, pending, ["id"]).collect())) == [(1, "z"), (2, "b")]
+    assert [r.txn for r in replicate.overlapping(pending, foreign, 0, ["id"]).collect()] == ["t2"]
+    log_rows = spark.createDataFrame([(6,), (7,)], "admission_seq long")
+    assert replicate.append_admissions(log_rows.limit(0), log_rows, c)[1].tail == 7
+    with pytest.raises(replicate.CursorError):
+        replicate.append_admissions(log_rows.limit(0), log_rows.where("admission_seq = 7"), c)
+
+
+def test_fixpoint(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5)], "a long, b long")
+    reach = recursion.fixpoint(spark.createDataFrame([(1,)], "a long"), lambda new: new.join(edges, "a").select(F.col("b").alias("a")))
+    assert sorted(r.a for r in reach.collect()) == [1, 2, 3]
+
+
 def test_store_versions(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/s")
     a = store.commit(0, {"t": spark.range(3)})
