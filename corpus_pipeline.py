@@ -37,11 +37,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: the one with the least id."""
+    """One document of each group that links connect: the one with the least id, and one row of it.
+
+    Texts move only where ids repeat or where too many documents go to be
+    broadcast as ids; rows without id stay as they are.
+    """
     docs = docs.select(*COLUMNS)
     found = jaccard_join.jaccard_components(docs)
     rest = written(found.where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct())
-    return docs.dropDuplicates(["doc_id"]).join(rest, "doc_id", "left_anti").select(*COLUMNS)
+    side = F.broadcast(rest) if rest.count() <= jaccard_join.BROADCAST_IDS else rest
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
+    return docs.join(side, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
