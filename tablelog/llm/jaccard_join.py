@@ -7,15 +7,20 @@ A document's set holds its distinct 5-word shingles; two documents link when
 2. Shingles are dealt by hash to count in how many classes each occurs, as
    packed blocks and not as rows. A linked pair must share a shingle among the
    rarest fifth (plus one) of either set, so a class with enough shingles of
-   its own has no partner, and the others keep only that rare prefix.
+   its own has no partner, and the others keep only that rare prefix. Shingles
+   that a bounded sample shows to be very common come last in that order
+   uncounted, so they never gather in one task; classes made of little else
+   meet in them in salted lists whose leaders meet again.
 3. Classes that share prefix shingles are partitioned into groups of similar
    documents around a leader, large ones split by a bound on their shingles.
    A group's task keeps clusters with the union of their shingles (the rows of
    the token-group matrix), bounds a document's overlap with each union, and
    opens only clusters that can qualify.
 4. What remains is pairs that share a prefix shingle and still lie in different
-   components: first one pair for each two components that meet, then every
-   such pair is verified. No bucket, group or partner list has a cap.
+   components: in three turns every component is held against one document of
+   another that it meets, then every pair is verified whose sets, less the
+   shingles that either has alone, can reach the threshold. No bucket, group
+   or partner list has a cap.
 
 Defined results: a null or empty text, or one without words, has the empty set
 and is its own component; fewer than five words make one shingle; a null id has
@@ -32,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablelog.llm.components import components
@@ -43,6 +49,8 @@ _U = np.uint64
 GROUP_SHINGLES = 150_000
 #: Classes with a partner up to which their ids are broadcast (16 bytes each); beyond, a shuffled join.
 BROADCAST_IDS = 2_000_000
+#: Documents sampled for very common shingles, and the share of them from which a shingle counts as such.
+SAMPLE, COMMON = 2000, 0.01
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -89,7 +97,13 @@ def _sets(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, n long, sig binary")
 
 
-_BLOCK = "r int, tok binary, high binary, node binary, size binary, run binary"
+_BLOCK = "r int, tok binary, high binary, node binary, size binary, common binary, run binary"
+
+
+def _reaches(size: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Whether a set's prefix reaches its common shingles."""
+    size, common = size.astype(np.int64), common.astype(np.int64)
+    return (common > 0) & (size - common < prefix_length(size) + 2)
 
 
 def _runs(node: np.ndarray) -> np.ndarray:
@@ -97,66 +111,106 @@ def _runs(node: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
 
 
-def _blocks(r: np.ndarray, tok: np.ndarray, node: np.ndarray, size: np.ndarray, high: np.ndarray) -> pa.RecordBatch | None:
-    """One packed row for each receiver."""
+def _blocks(r: np.ndarray, tok: np.ndarray, node: np.ndarray, size: np.ndarray, common: np.ndarray, high: np.ndarray) -> pa.RecordBatch | None:
+    """One packed row for each receiver; size and common belong to the node."""
     if not len(r):
         return None
     order = np.argsort(r, kind="stable")
-    r, tok, node, size, high = r[order], tok[order], node[order], size[order], high[order]
+    r, tok, node, size, common, high = r[order], tok[order], node[order], size[order].astype(np.uint32), common[order].astype(np.uint32), high[order]
     cut = np.append(_runs(r), len(r)).tolist()
-    rows: list[list] = [[] for _ in range(6)]
+    rows: list[list] = [[] for _ in range(7)]
     for a, b in zip(cut, cut[1:]):
         first = _runs(node[a:b])
-        for out, v in zip(rows, (int(r[a]), tok[a:b].tobytes(), high[a:b].tobytes(), node[a:b][first].tobytes(), size[a:b][first].astype(np.uint32).tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())):
+        for out, v in zip(rows, (int(r[a]), tok[a:b].tobytes(), high[a:b].tobytes(), node[a:b][first].tobytes(), size[a:b][first].tobytes(), common[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())):
             out.append(v)
-    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(v, pa.binary()) for v in rows[1:])], names=["r", "tok", "high", "node", "size", "run"])
+    return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(v, pa.binary()) for v in rows[1:])], names=["r", "tok", "high", "node", "size", "common", "run"])
 
 
-def _unpack(batches: Iterator[pa.RecordBatch], tok_type, high_type) -> tuple[np.ndarray, ...]:
-    """All blocks of a partition: receiver, token, high part, node and set size of every entry."""
-    parts: list[list[np.ndarray]] = [[] for _ in range(5)]
+def _unpack(batches: Iterator[pa.RecordBatch], n: int, tok_type, high_type) -> tuple[tuple[np.ndarray, ...], list[pa.RecordBatch]]:
+    """Entries of a partition's blocks (receiver, token, high part, node, set size, common shingles of the set), and the blocks of salted lists, which only pass."""
+    parts: list[list[np.ndarray]] = [[] for _ in range(6)]
+    salted = []
     for batch in batches:
-        for r, tok, high, node, size, run in zip(*(c.to_pylist() for c in batch.columns)):
+        passing = pc.greater_equal(batch.column(0), n)
+        if pc.any(passing).as_py():
+            salted.append(batch.filter(passing))
+            batch = batch.filter(pc.invert(passing))
+        for r, tok, high, node, size, common, run in zip(*(c.to_pylist() for c in batch.columns)):
             run = np.frombuffer(run, np.uint32)
             tok = np.frombuffer(tok, tok_type)
-            for out, v in zip(parts, (np.full(len(tok), r, np.uint64), tok, np.frombuffer(high, high_type), np.repeat(np.frombuffer(node, np.int64), run), np.repeat(np.frombuffer(size, np.uint32), run))):
+            for out, v in zip(parts, (np.full(len(tok), r, np.uint32), tok, np.frombuffer(high, high_type), np.repeat(np.frombuffer(node, np.int64), run), np.repeat(np.frombuffer(size, np.uint32), run), np.repeat(np.frombuffer(common, np.uint32), run))):
                 out.append(v)
-    kinds = (np.uint64, tok_type, high_type, np.int64, np.uint32)
-    return tuple(np.concatenate(p) if p else np.zeros(0, k) for p, k in zip(parts, kinds))
+    kinds = (np.uint32, tok_type, high_type, np.int64, np.uint32, np.uint32)
+    out = []
+    for p, k in zip(parts, kinds):
+        out.append(np.concatenate(p) if p else np.zeros(0, k))
+        p.clear()  # the blocks go before the next column is joined
+    return tuple(out), salted
 
 
-def _deal(n: int, hold: int = 1_500_000):
-    """Texts to blocks of (shingle, class), dealt by shingle; a task sends each set once."""
+def _common(documents: DataFrame, text_column: str) -> np.ndarray:
+    """Sorted hashes of shingles that many documents of a bounded sample have; any set gives right results, this one spreads work."""
+    rows = documents.where(F.col(text_column).isNotNull())
+    share = min(1.0, SAMPLE / max(1, rows.count()))
+    some = rows.where(F.pmod(F.xxhash64(text_column), F.lit(1 << 20)) < int(share * (1 << 20))).select(F.col(text_column).alias("text")).limit(2 * SAMPLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                sets = shingle_sets(batch.column(0).slice(a, b - a))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["tok"])
+
+    found = some.mapInArrow(run, "tok long").groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, int(COMMON * SAMPLE))).select("tok")
+    return np.sort(found.toArrow().column("tok").to_numpy().view(np.uint64))
+
+
+def _deal(n: int, shared, hold: int = 500_000):
+    """Texts to blocks of (shingle, class), dealt by shingle; a task sends each set once.
+
+    Receivers from n on are those of salted lists: there go the common shingles
+    of classes whose prefix reaches them, as places in the table of common ones.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = shared.value
         seen: set[bytes] = set()
-        held: list[np.ndarray] = []
-        nodes: list[int] = []
-
-        def flush():
-            sizes = np.array([len(s) for s in held], np.int64)
-            h = np.concatenate(held) if held else np.zeros(0, np.uint64)
-            r = ((h >> _U(32)) * _U(n)) >> _U(32)
-            out = _blocks(r.astype(np.int32), h.astype(np.uint32), np.repeat(np.array(nodes, np.int64), sizes), np.repeat(sizes, sizes), ((h >> _U(32)) & _U(255)).astype(np.uint8))
-            held.clear()
-            nodes.clear()
-            return out
+        cold: list[np.ndarray] = []
+        hot: list[np.ndarray] = []
+        about: list[tuple[int, int, int]] = []  # node, set size, common shingles
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            node, size, common = (np.array(c, np.int64) for c in zip(*about))
+            for shingles, salted in ((cold, False), (hot, True)):
+                count = np.array([len(s) for s in shingles], np.int64)
+                h = np.concatenate(shingles)
+                who = np.repeat(node, count)
+                r = (mix64(h * _U(n) + who.view(np.uint64) % _U(n)) % _U(n) + _U(n)) if salted else ((h >> _U(32)) * _U(n)) >> _U(32)
+                out = _blocks(r.astype(np.int32), h.astype(np.uint64 if salted else np.uint32), who, np.repeat(size, count), np.repeat(common, count), np.zeros(len(h), np.uint8) if salted else ((h >> _U(32)) & _U(255)).astype(np.uint8))
+                if out is not None:
+                    yield out
+            for x in (cold, hot, about):
+                x.clear()
 
         waiting = 0
         for batch in batches:
             for a, b in slices(batch.column(0)):
                 for s in shingle_sets(batch.column(0).slice(a, b - a)):
                     sig = digest(s)
-                    if len(s) and sig not in seen:
-                        seen.add(sig)
-                        held.append(s)
-                        nodes.append(node_of(sig))
-                        waiting += len(s)
+                    if not len(s) or sig in seen:
+                        continue
+                    seen.add(sig)
+                    place = np.searchsorted(known, s)
+                    is_hot = known[np.minimum(place, len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
+                    more = max(0, int(prefix_length(np.int64(len(s)))) + 2 - int((~is_hot).sum()))
+                    cold.append(s[~is_hot])
+                    hot.append(place[is_hot][:more].astype(np.uint64))
+                    about.append((node_of(sig), len(s), int(is_hot.sum())))
+                    waiting += len(s)
                 if waiting > hold:
-                    yield flush()
+                    yield from flush()
                     waiting = 0
-        if held:
-            yield flush()
+        if about:
+            yield from flush()
 
     return run
 
@@ -165,28 +219,31 @@ def _shared(n: int):
     """Blocks of one shingle range to blocks of (shingle, classes that have it), dealt by class; shingles of one class go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        r, low, high, node, size = _unpack(batches, np.uint32, np.uint8)
-        tok = (r << _U(40)) | (high.astype(np.uint64) << _U(32)) | low
+        (r, low, high, node, size, common), salted = _unpack(batches, n, np.uint32, np.uint8)
+        yield from salted
+        tok = (r.astype(np.uint64) << _U(40)) | (high.astype(np.uint64) << _U(32)) | low
         del r, low, high
         order = np.argsort(tok)
         sorted_ = tok[order]
         twice = np.zeros(len(tok), bool)
         same = sorted_[1:] == sorted_[:-1]
         twice[order[1:][same]] = twice[order[:-1][same]] = True
-        tok, node, size = tok[twice], node[twice], size[twice]
+        del order, sorted_, same
+        twice |= _reaches(size, common)  # their own shingles are told to them too
+        tok, node, size, common = tok[twice], node[twice], size[twice], common[twice]
         order = np.lexsort((node, tok))
-        tok, node, size = tok[order], node[order], size[order]
+        tok, node, size, common = tok[order], node[order], size[order], common[order]
         new = np.ones(len(tok), bool)
         new[1:] = (tok[1:] != tok[:-1]) | (node[1:] != node[:-1])  # a class that several tasks sent counts once
-        tok, node, size = tok[new], node[new], size[new]
+        tok, node, size, common = tok[new], node[new], size[new], common[new]
         first = _runs(tok)
         df = np.diff(np.append(first, len(tok)))
         df = np.repeat(df, df)
-        keep = df > 1
-        tok, node, size, df = tok[keep], node[keep], size[keep], df[keep]
+        keep = (df > 1) | _reaches(size, common)
+        tok, node, size, common, df = tok[keep], node[keep], size[keep], common[keep], df[keep]
         order = np.argsort(node, kind="stable")
-        tok, node, size, df = tok[order], node[order], size[order], df[order]
-        out = _blocks((node.view(np.uint64) % _U(n)).astype(np.int32), tok, node, size, np.minimum(df, (1 << 32) - 1).astype(np.uint32))
+        tok, node, size, common, df = tok[order], node[order], size[order], common[order], df[order]
+        out = _blocks((node.view(np.uint64) % _U(n)).astype(np.int32), tok, node, size, common, np.minimum(df, (1 << 32) - 1).astype(np.uint32))
         if out is not None:
             yield out
 
@@ -197,44 +254,77 @@ def _prefixes(n: int):
     """Blocks of classes to blocks of their rare prefix, dealt by shingle; classes without a possible partner go."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, tok, df, node, size = _unpack(batches, np.uint64, np.uint32)
+        (_, tok, df, node, size, common), salted = _unpack(batches, n, np.uint64, np.uint32)
+        yield from salted
         order = np.lexsort((tok, df, node))
-        tok, node, size = tok[order], node[order], size[order].astype(np.int64)
+        tok, node, size, common = tok[order], node[order], size[order].astype(np.int64), common[order].astype(np.int64)
         first = _runs(node)
         count = np.diff(np.append(first, len(node)))
         rank = np.arange(len(node)) - np.repeat(first, count)
-        alone = size - np.repeat(count, count)
-        keep = rank < prefix_length(size) + 2 - alone  # 2 more, should shingles collide
-        tok, node, size = tok[keep], node[keep], size[keep]
-        out = _blocks((mix64(tok) % _U(n)).astype(np.int32), tok, node, size, np.zeros(len(tok), np.uint8))
+        many = df[order] > 1
+        shared = np.add.reduceat(many, first) if len(first) else count
+        alone = size - common - np.repeat(shared, count)
+        rank -= np.repeat(count - shared, count)  # shingles of this class alone stand first
+        keep = many & (rank < prefix_length(size) + 2 - alone)  # 2 more, should shingles collide
+        own = first[_reaches(size[first], common[first])]  # these also report how many shingles are theirs alone
+        tok = np.concatenate([tok[keep], node[own].view(np.uint64)])
+        high = np.repeat(np.array([0, 1], np.uint8), [keep.sum(), len(own)])
+        node, size, alone = (np.concatenate([v[keep], v[own]]) for v in (node, size, alone))
+        out = _blocks((mix64(tok) % _U(n)).astype(np.int32), tok, node, size, alone, high)
         if out is not None:
             yield out
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of prefix shingles to the lists of classes that meet in one; equal lists become one with their number."""
-    _, tok, _, node, _ = _unpack(batches, np.uint64, np.uint8)
-    order = np.lexsort((node, tok))
-    tok, node = tok[order], node[order]
-    first = _runs(tok)
-    count = np.diff(np.append(first, len(tok)))
-    if not len(first):
-        return
-    name = np.add.reduceat(mix64(node.view(np.uint64)), first)
-    many = np.flatnonzero(count > 1)
-    if not len(many):
+def _meet(n: int):
+    """Blocks of prefix shingles to the lists of classes that meet in one.
+
+    Equal lists become one with their number. Salted lists stay as they are: all
+    that belong to one common shingle share their name.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (_, tok, high, node, _, alone), salted = _unpack(batches, n, np.uint64, np.uint8)
+        yield from _lists(tok[high == 0], node[high == 0], alone[high == 0], None)
+        yield from _listed(mix64(tok[high == 1]), np.arange((high == 1).sum() + 1), node[high == 1], alone[high == 1], np.ones((high == 1).sum(), np.int64), False)
+        hot = [pa.RecordBatch.from_arrays([pc.subtract(b.column(0), pa.scalar(n, pa.int32())), *b.columns[1:]], names=b.schema.names) for b in salted]
+        (_, tok, _, node, size, common), _ = _unpack(iter(hot), n, np.uint64, np.uint8)
+        yield from _lists(tok, node, size - common, node.view(np.uint64) % _U(n))
+
+    return run
+
+
+def _lists(tok: np.ndarray, node: np.ndarray, score: np.ndarray, salt: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Classes by shingle and salt; those with the fewest shingles of their own first, as they are likest to the rest."""
+    if not len(tok):
         return
-    names, one, weight = np.unique(name[many], return_index=True, return_counts=True)
-    pick = many[one]
+    common = salt is not None
+    salt = salt if common else np.zeros(len(tok), np.uint64)
+    order = np.lexsort((node, score, salt, tok))
+    tok, node, score, salt = tok[order], node[order], score[order], salt[order]
+    new = np.ones(len(tok), bool)
+    new[1:] = (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])
+    tok, node, score, salt = tok[new], node[new], score[new], salt[new]
+    first = np.flatnonzero(np.concatenate([[True], (tok[1:] != tok[:-1]) | (salt[1:] != salt[:-1])]))
+    count = np.diff(np.append(first, len(tok)))
+    if common:
+        names, pick, weight = mix64(tok[first] + _U(1 << 40)), np.arange(len(first)), np.ones(len(first), np.int64)
+    else:
+        many = np.flatnonzero(count > 1)
+        names, one, weight = np.unique(np.add.reduceat(mix64(node.view(np.uint64)), first)[many], return_index=True, return_counts=True)
+        pick = many[one]
     lengths = count[pick]
     place = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths) + np.repeat(first[pick], lengths)
-    offsets = np.concatenate([[0], np.cumsum(lengths)])
-    for a in range(0, len(pick), 2000):
-        b = min(a + 2000, len(pick))
-        members = pa.ListArray.from_arrays(pa.array((offsets[a : b + 1] - offsets[a]).astype(np.int32)), pa.array(node[place[offsets[a] : offsets[b]]]))
-        yield pa.RecordBatch.from_arrays([pa.array(names[a:b].view(np.int64)), members, pa.array(weight[a:b].astype(np.int64))], names=["list", "members", "weight"])
+    yield from _listed(names, np.concatenate([[0], np.cumsum(lengths)]), node[place], score[place], weight, common)
+
+
+def _listed(names: np.ndarray, offsets: np.ndarray, node: np.ndarray, score: np.ndarray, weight: np.ndarray, common: bool) -> Iterator[pa.RecordBatch]:
+    for a in range(0, len(names), 2000):
+        b = min(a + 2000, len(names))
+        at = pa.array((offsets[a : b + 1] - offsets[a]).astype(np.int32))
+        arrays = [pa.ListArray.from_arrays(at, pa.array(v[offsets[a] : offsets[b]].astype(np.int64))) for v in (node, score)]
+        yield pa.RecordBatch.from_arrays([pa.array(names[a:b].view(np.int64)), *arrays, pa.array(weight[a:b].astype(np.int64)), pa.array(np.full(b - a, common))], names=["list", "members", "scores", "weight", "common"])
 
 
 def resolve(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
@@ -302,14 +392,19 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     n = partitions_for(documents)
     table = written(_sets(documents, id_column, text_column))
     text = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"))
+    shared = documents.sparkSession.sparkContext.broadcast(_common(documents, text_column))  # a hundred shingles a sampled document at most
     lists = written(
-        text.mapInArrow(_deal(n), _BLOCK).repartition(n, "r").mapInArrow(_shared(n), _BLOCK)
+        text.mapInArrow(_deal(n, shared), _BLOCK).repartition(n, "r").mapInArrow(_shared(n), _BLOCK)
         .repartition(n, "r").mapInArrow(_prefixes(n), _BLOCK)
-        .repartition(n, "r").mapInArrow(_meet, "list long, members array<long>, weight long"))
+        .repartition(n, "r").mapInArrow(_meet(n), "list long, members array<long>, scores array<long>, weight long, common boolean"))
     classes = written(table.where("sig IS NOT NULL AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least")).mapInArrow(_with_node, f"node long, least {table.schema['id'].dataType.simpleString()}, sig binary"))
-    meeting = written(lists.select("list", F.explode("members").alias("node"), F.col("members")[0].alias("leader"), "weight"))
+    flat = lists.select("list", F.explode(F.arrays_zip("members", "scores")).alias("z"), F.col("members")[0].alias("leader"), "weight", "common").select("list", F.col("z.members").alias("node"), F.col("z.scores").alias("score"), "leader", "weight", "common")
+    heads = lists.where("common").select("list", F.col("members")[0].alias("node"), F.col("scores")[0].alias("score"))
+    tops = heads.groupBy("list").agg(F.min_by("node", F.struct("score", "node")).alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
+    meeting = written(flat.unionByName(heads.join(tops, "list").where("node <> leader").select("list", "node", "score", "leader", F.lit(1).cast("long").alias("weight"), F.lit(True).alias("common"))))
     discard(lists)
     leaders = meeting.where("node <> leader").groupBy("node", "leader").agg(F.sum("weight").alias("weight")).groupBy("node").agg(F.max_by("leader", F.struct("weight", -F.col("leader"))).alias("leader"))
+    own = written(meeting.groupBy("node").agg(F.max(F.when(~F.col("common"), F.col("score"))).alias("alone")).select("node", F.coalesce("alone", F.lit(0)).alias("alone")))
     sets = written(_sets_of(documents, classes, meeting, id_column, text_column))
     members = written(leaders.join(sets.select("node", "n"), "node"))
     salts = members.groupBy("leader").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("salts"))
@@ -318,18 +413,21 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     opened = grouped.join(sets, "node").select("leader", "salt", "node", "set").repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt")
     edges = written(opened.mapInArrow(_open_groups, "a long, b long"))
     labels = components(edges)
-    for whole in (False, True):
-        open_ = written(meeting.join(labels, "node", "left").select("list", "node", F.coalesce("label", "node").alias("label")))
-        mixed = written(open_.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by("node", "label").alias("head")).where("low < high"))
+    for turn in ("likest", 1, 2, "all"):
+        open_ = written(meeting.join(labels, "node", "left").select("list", "node", "score", F.coalesce("label", "node").alias("label")))
+        choice = F.struct("score", "node") if turn == "likest" else F.xxhash64("node", F.lit(str(turn)))
+        mixed = written(open_.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("node", "label"), choice).alias("head")).where("low < high").select("list", F.col("head.node").alias("a"), F.col("head.label").alias("of")))
         if not mixed.limit(1).count():
             discard(open_, mixed)
             break
-        if whole:
-            sized = open_.join(mixed.select("list"), "list", "left_semi").join(sets.select("node", "n"), "node")
-            other = sized.select("list", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"))
-            pairs = sized.join(other, "list").where("label < other AND 5 * n >= 4 * m AND 5 * m >= 4 * n").select(F.col("node").alias("a"), "b").distinct()
+        if turn == "all":
+            sized = open_.join(mixed.select("list"), "list", "left_semi").select("list", "node", "label").distinct().join(sets.select("node", "n"), "node").join(own, "node")
+            other = sized.select("list", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("alone").alias("lone"))
+            # no more can be common than either has beyond its own shingles
+            most = "least(n - alone, m - lone)"
+            pairs = sized.join(other, "list").where(f"label < other AND 100 * {most} >= 80 * (n + m - {most})").select(F.col("node").alias("a"), "b").distinct()
         else:
-            pairs = open_.join(mixed, "list").where("label > low").groupBy("list", "label").agg(F.min("head").alias("a"), F.min("node").alias("b")).select("a", "b").distinct()
+            pairs = open_.join(mixed, "list").where("label <> of").groupBy("list", "label", "a").agg(F.min_by("node", choice).alias("b")).select("a", "b").distinct()
         new = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
         more = written(edges.union(new))
         discard(edges, labels, open_, mixed)
@@ -338,7 +436,7 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     labels = written(labels)
     of_label = labels.join(classes, "node").groupBy("label").agg(F.min("least").alias("component"))
     found = written(classes.join(labels, "node", "left").join(of_label, "label", "left").select("sig", F.coalesce("component", "least").alias("component")))
-    discard(edges, meeting, members, grouped, sets, classes)
+    discard(edges, own, meeting, members, grouped, sets, classes)
     return table.join(found, "sig", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
 
 

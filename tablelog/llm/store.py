@@ -45,7 +45,7 @@ def input_bytes(df: DataFrame) -> int:
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def partitions_for(df: DataFrame, bytes_each: int = 16 << 20) -> int:
+def partitions_for(df: DataFrame, bytes_each: int = 8 << 20) -> int:
     """Shuffle partitions that keep each one small at any input size."""
     floor = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     size = input_bytes(df)

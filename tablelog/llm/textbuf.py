@@ -63,7 +63,7 @@ def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, at - at[0]
 
 
-def slices(column: pa.Array, limit: int = 4 << 20):
+def slices(column: pa.Array, limit: int = 1 << 20):
     """Row ranges whose texts together hold about `limit` bytes; a longer text stands alone."""
     n = len(column)
     if not n:
