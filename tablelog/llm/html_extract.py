@@ -4,10 +4,10 @@ A page is read as blocks of text, each with the path of block tags from the
 root to it. Per path the text length and the punctuation of its blocks are
 summed and divided by their number; both ratios are smoothed over paths in page
 order, scaled to the page's largest and fused. What a page's own markup says
-counts too: a path inside article or main gets a full point, paths through
-navigation, headers, footers, sidebars, notices, adverts, forms and comments
-get none at all. Paths at or above the threshold are content; their blocks are
-kept whole and in order.
+counts too: a path inside article or main gets a bounded bonus on its ratio,
+paths through navigation, headers, footers, sidebars, notices, adverts, forms
+and comments get none at all. Paths at or above the threshold, which is one for
+all, are content; their blocks are kept whole and in order.
 
 Defined results: null or empty html, and pages without content, give an empty
 string of length 0; a null id or url stays null; repeated rows give repeated
@@ -36,6 +36,8 @@ RAW = frozenset("script style textarea template noscript iframe svg math object
 BOILERPLATE = frozenset("head title nav footer aside form menu dialog button select option label input fieldset search".split())
 #: Words in class, id or role that mark boilerplate.
 MARKED = frozenset("ad ads advert adverts advertisement adsense banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies consent notice notices alert popup modal overlay comment comments commentlist disqus replies share sharing social related recommended promo promoted sponsor sponsored newsletter subscribe subscription signup login search pagination pager widget toolbar copyright complementary contentinfo".split())
+#: What a path inside article or main gets on top of its ratio, which is below 1; less than the threshold, so that markup alone decides nothing.
+BONUS = 0.25
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
@@ -122,7 +124,7 @@ def main_text(page: str | None, threshold: float = 0.35) -> str:
     marks = [sum(len(_PUNCTUATION.findall(t)) for t in paths[p]) / len(paths[p]) for p in live]
     kept = set()
     for k, score in enumerate(_fused(length, marks)):
-        if score + live[k][1] >= (1.0 if any(p[1] for p in live) else threshold):
+        if score + BONUS * live[k][1] >= threshold:
             kept.add(live[k])
     return "\n\n".join(text for path, text, inside, bad in found if (path, inside, bad) in kept)
 

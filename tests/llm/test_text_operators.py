@@ -206,6 +206,14 @@ def test_main_text():
         assert isinstance(html_extract.main_text(odd), str)
 
 
+def test_ratios_decide_beside_an_article():
+    body = "".join(f"<p>Paragraph {k} of the body, which is long enough to count, says {k} things; then it ends.</p>" for k in range(6))
+    for other in ("<article><h3>More to read</h3></article>", "<article>Nice post.</article>"):
+        assert "Paragraph 5" in html_extract.main_text(f'<body><div class="content">{body}</div><div>{other}</div></body>')
+    low = f"<body><article>{body}<ul><li>a</li><li>b</li><li>c</li></ul><ul><li><ol><li>d</li></ol></li></ul></article></body>"
+    assert "\n\nd" not in html_extract.main_text(low)  # the ratio also counts inside
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, 1), (None, None, None, 2), (2, "v", "", 3), (1, "u", PAGE, 1)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
