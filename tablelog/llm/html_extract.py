@@ -6,8 +6,12 @@ summed and divided by their number; both ratios are smoothed over paths in page
 order, scaled to the page's largest and fused. What a page's own markup says
 counts too: a path inside article or main gets a bounded bonus on its ratio,
 paths through navigation, headers, footers, sidebars, notices, adverts, forms
-and comments get none at all. Paths at or above the threshold, which is one for
-all, are content; their blocks are kept whole and in order.
+and comments get none at all. Marks by element or hiding hold for all within.
+Marks by words of class, id or role can be wrong about a wrapper: article, main
+and long blocks within lift them, under words for other texts than the page's
+own (comments, adverts, notices) only if no other path is left. Paths at or
+above the threshold, which is one for all, are content; their blocks are kept
+whole and in order.
 
 Defined results: null or empty html, and pages without content, give an empty
 string of length 0; a null id or url stays null; repeated rows give repeated
@@ -36,31 +40,54 @@ RAW = frozenset("script style textarea template noscript iframe svg math object
 BOILERPLATE = frozenset("head title nav footer aside form menu dialog button select option label input fieldset search".split())
 #: Words in class, id or role that mark boilerplate.
 MARKED = frozenset("ad ads advert adverts advertisement adsense banner sidebar sidenav nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar cookie cookies consent notice notices alert popup modal overlay comment comments commentlist disqus replies share sharing social related recommended promo promoted sponsor sponsored newsletter subscribe subscription signup login search pagination pager widget toolbar copyright complementary contentinfo".split())
+#: Those of them that mean other texts than the page's own, however long.
+OTHERS = frozenset("ad ads advert adverts advertisement adsense cookie cookies consent notice notices alert popup comment comments commentlist disqus replies related recommended promo promoted sponsor sponsored newsletter subscribe subscription signup login".split())
+#: Parts that a marked word may have beside it in one name: site-footer, left-sidebar, comment-list.
+BESIDE = frozenset("site page top left right bottom primary secondary global list item slot box bar block links text".split())
+#: Characters of a block that is long enough to lift a mark.
+LONG = 200
+#: Marks of a block: none; by a word, lifted by article, main or length; by a word for other texts; by element or hiding.
+NONE, WORD, OTHER, FIRM = range(4)
 #: What a path inside article or main gets on top of its ratio, which is below 1; less than the threshold, so that markup alone decides nothing.
 BONUS = 0.25
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 
 
-def _marked(attributes: str) -> bool:
+def _marked(attributes: str) -> int:
+    """The mark that attributes give: a name counts if it is a marked word, or made of such and of parts that may stand beside it."""
+    if ("hidden" in attributes or "none" in attributes) and _HIDDEN.search(attributes):
+        return FIRM
+    mark = NONE
     for m in _NAMES.finditer(attributes):
-        if any(w in MARKED for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())):
-            return True
-    return bool(_HIDDEN.search(attributes)) if "hidden" in attributes or "none" in attributes else False
-
-
-def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
-    """(tag path, text, inside article or main, boilerplate) of every block with text, in page order."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, article or main so far, boilerplate so far
+        for name in (m[1] or m[2] or m[3] or "").lower().split():
+            parts = [w for w in re.split(r"[^a-z]+", name) if w]
+            if "".join(parts) in MARKED:
+                parts = ["".join(parts)]
+            words = [w for w in parts if w in MARKED]
+            if words and all(w in MARKED or w in BESIDE for w in parts):
+                mark = max(mark, WORD if OTHERS.isdisjoint(words) else OTHER)
+    return mark
+
+
+def blocks(page: str) -> list[tuple[str, str, bool, int]]:
+    """(tag path, text, inside article or main, mark) of every block with text, in page order; OTHER is left only where nothing lifts it or other text is there."""
+    stack: list[tuple[str, bool, int, bool]] = []  # tag, article or main so far, mark so far, article or main within the mark
     parts: list[str] = []
-    out: list[tuple[str, str, bool, bool]] = []
+    out: list[tuple[str, str, bool, int]] = []
+    spare: list[int] = []  # blocks to lift if no other is left
 
     def flush() -> None:
         if parts:
             text = _SPACE.sub(" ", references.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                inside, bad = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-                out.append(("/".join(t for t, _, _ in stack), text, inside, bad))
+                inside, mark, lifts = stack[-1][1:] if stack else (False, NONE, False)
+                if mark in (WORD, OTHER) and (lifts or len(text) >= LONG):
+                    if mark == OTHER:
+                        spare.append(len(out))
+                    else:
+                        mark = NONE
+                out.append(("/".join(s[0] for s in stack), text, inside, mark))
 
     def close(tag: str, within: int = 0) -> None:
         for k in range(len(stack) - 1, within - 1, -1):
@@ -102,21 +129,33 @@ def blocks(page: str) -> list[tuple[str, str, bool, bool]]:
         for other in _CLOSES.get(tag, ()):
             lists = max((k + 1 for k, s in enumerate(stack) if s[0] in ("ul", "ol", "dl", "table", "select", "menu")), default=0)
             close(other, lists)
-        inside, bad = (stack[-1][1], stack[-1][2]) if stack else (False, False)
-        header = tag == "header" and not inside
-        stack.append((tag, inside or tag in ("article", "main"), bad or tag in BOILERPLATE or header or tag not in ("html", "body", "article", "main") and _marked(m[3])))
+        inside, mark, lifts = stack[-1][1:] if stack else (False, NONE, False)
+        if tag in BOILERPLATE or tag == "header" and not inside:
+            own = FIRM
+        else:
+            own = _marked(m[3]) if tag not in ("html", "body", "article", "main") else NONE
+        if tag in ("article", "main"):
+            lifts = mark in (WORD, OTHER)
+        elif own:
+            lifts = False
+        if own and mark == WORD and stack[-1][3]:
+            mark = NONE  # lifted already; only the new mark holds
+        stack.append((tag, inside or tag in ("article", "main"), max(mark, own), lifts))
         if m[3].endswith("/"):
             stack.pop()
     flush()
+    if all(b[3] for b in out):
+        for k in spare:
+            out[k] = (*out[k][:3], NONE)
     return out
 
 
 def main_text(page: str | None, threshold: float = 0.35) -> str:
     """The blocks of content paths, joined by two line feeds."""
     found = blocks(page) if page else []
-    paths: dict[tuple[str, bool, bool], list[str]] = defaultdict(list)
-    for path, text, inside, bad in found:
-        paths[path, inside, bad].append(text)
+    paths: dict[tuple[str, bool, int], list[str]] = defaultdict(list)
+    for path, text, inside, mark in found:
+        paths[path, inside, mark].append(text)
     live = [p for p in paths if not p[2]]
     if not live:
         return ""
@@ -126,7 +165,7 @@ def main_text(page: str | None, threshold: float = 0.35) -> str:
     for k, score in enumerate(_fused(length, marks)):
         if score + BONUS * live[k][1] >= threshold:
             kept.add(live[k])
-    return "\n\n".join(text for path, text, inside, bad in found if (path, inside, bad) in kept)
+    return "\n\n".join(text for path, text, inside, mark in found if (path, inside, mark) in kept)
 
 
 def _smooth(v: list[float]) -> list[float]:

@@ -214,6 +214,23 @@ def test_ratios_decide_beside_an_article():
     assert "\n\nd" not in html_extract.main_text(low)  # the ratio also counts inside
 
 
+@pytest.mark.parametrize("wrapper", ["div class='layout has-sidebar'", "div id='content-sidebar-wrap'", "section class='post share-enabled'", "div class='sidebar'", "div class=modal", "div class='related'"])
+def test_wrappers_do_not_empty_a_page(wrapper):
+    tag = wrapper.split()[0]
+    page = f"<body><{wrapper}><article><h1>Title</h1><p>The text, whole.</p><div class='ad'>Buy now!</div></article></{tag}><footer>us</footer></body>"
+    assert html_extract.main_text(page) == "Title\n\nThe text, whole."
+    long = "A sentence of the page, with a comma. " * 8
+    assert html_extract.main_text(f"<body><{wrapper}><p>{long}</p></{tag}></body>") == long.strip()
+
+
+def test_marks_that_hold():
+    body = "<article><h1>Title</h1><p>The text, whole.</p></article>"
+    long = "A remark, of some length. " * 12
+    for other in (f"<div class='cookie-notice'>{long}</div>", f"<section id=comments><article>{long}</article></section>", f"<div class='widget'><aside>{long}</aside></div>", "<div class='site-footer'>us</div>", "<ul class='comment-list'><li>Nice.</li></ul>", f"<div class=widget hidden><p>{long}</p></div>"):
+        assert html_extract.main_text(f"<body>{body}{other}</body>") == "Title\n\nThe text, whole."
+    assert html_extract.main_text("<body><div class='widget'><article><p>The text, whole.</p><div class='share'>Tell</div></article></div></body>") == "The text, whole."
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE, 1), (None, None, None, 2), (2, "v", "", 3), (1, "u", PAGE, 1)]
     got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string, n_chars int")).collect()
