@@ -237,6 +237,48 @@ def test_fixpoint(spark):
     assert sorted(r.a for r in reach.collect()) == [1, 2, 3]
 
 
+def test_group_commit_in_order(spark):
+    """Against a loop that keeps every accepted write, in and across groups."""
+    import random
+
+    rng = random.Random(5)
+    fp, proposals, wrote = [], [], []
+    for t in range(120):
+        front = rng.choice([3, 4, 5, 7])
+        for _ in range(rng.randrange(1, 3)):
+            fp.append((t, rng.choice(["read", "write", "constraint"]), [rng.choice("abcdef"), str(rng.randrange(6))][: rng.choice([1, 2, 2])], front))
+        for f in fp:
+            if f[0] == t and f[1] == "write":
+                wrote.append((t, f[2], rng.random() < 0.3))
+        proposals.append((t, t % 2, 1000 - t))
+    proposals.append((0, 0, 5000))
+    past = [(2, -1, ["a", "1"], False), (4, -1, ["b"], True)]
+    frames = [spark.createDataFrame(r, s) for r, s in ((proposals, "txn long, space long, arrival long"), (fp, "txn long, kind string, prefix array<string>, frontier long"), (past, "commit_seq long, writer long, region array<string>, wide boolean"), (wrote, "txn long, region array<string>, wide boolean"))]
+
+    def meets(region, wide, prefix):
+        return region[: len(prefix)] == prefix or wide and prefix[: len(region)] == region
+
+    for given in (wrote, None):
+        writes = given if given is not None else [(f[0], f[2], False) for f in fp if f[1] == "write"]
+        want = {}
+        for space in (0, 1):
+            order = sorted((p for p in proposals if p[1] == space), key=lambda p: p[2])
+            done, seq, ok = [], 4, set()
+            for g in range(0, len(order), 8):
+                seq += g == 0 or took
+                took = False
+                for place, (t, _, _) in enumerate(order[g : g + 8], g + 1):
+                    bad = t not in ok and any(any(c > f[3] and meets(r, w, f[2]) for c, _, r, w in past) or any((s == seq or s > f[3]) and meets(r, w, f[2]) for s, r, w in done) for f in fp if f[0] == t)
+                    if not bad and t not in ok:
+                        took = True
+                        ok.add(t)
+                        done += [(seq, r, w) for x, r, w in writes if x == t]
+                    want[space, place] = (t, g // 8, bad)
+        got = recursion.group_commit(*frames[:3], 8, frames[3] if given is not None else None)
+        assert sorted(map(tuple, got.collect())) == sorted((t, place, g, bad) for (_, place), (t, g, bad) in want.items())
+        assert 0 < sum(bad for _, _, bad in want.values()) < len(want)
+
+
 def test_store_versions(spark, tmp_path):
     store = TableStore(spark, f"file://{tmp_path}/s")
     a = store.commit(0, {"t": spark.range(3)})
