@@ -27,7 +27,7 @@ from tablelog.llm.textbuf import LOWER, slices, span_hashes, text_buffer, words
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
-#: What a sentence without evidence may weigh in training; scoring leaves it out, so that length alone never makes a text toxic.
+#: What a sentence without evidence may weigh in training; scoring leaves it out, or what the fitted bias weighs if that is more, so that length alone never makes a text toxic.
 FLOOR = float(np.logaddexp(0, -4.0))
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[np.frombuffer(b".,;:!?\"'()[]{}*#$%&|<>-_~`", np.uint8)] = True
@@ -94,7 +94,7 @@ class Model:
         if self.constant is not None:
             return np.full(s.n_texts, self.constant), np.full(len(s.text), self.constant)
         z = self.logits(s)
-        evidence = np.maximum(np.logaddexp(0, z) - FLOOR, 0)
+        evidence = np.maximum(np.logaddexp(0, z) - max(FLOOR, float(np.logaddexp(0, self.bias))), 0)
         return -np.expm1(-np.bincount(s.text, evidence, s.n_texts)), 1 / (1 + np.exp(-z))
 
 

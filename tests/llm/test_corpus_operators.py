@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tablelog.llm import jaccard_join, quality_cnn, sharding, toxicity_mil
@@ -213,3 +214,10 @@ def test_chunks_cover_the_whole_text():
     padded = np.concatenate([quality_cnn.symbols(np.frombuffer(text.encode(), np.uint8)), np.zeros(5, int)])
     each = np.stack([sum(net.embed[padded[k : k + len(text)]] @ net.kernel[k] for k in range(6))])[0]
     assert np.allclose(net.combine(pooled, lay)[0, :8], np.maximum(each.max(0), 0), atol=1e-4)
+
+
+@pytest.mark.parametrize("bias", [-3.0, -3.9, -4.0, -6.0])
+def test_length_alone_is_never_toxic(bias):
+    s = toxicity_mil.split(pa.array(["A neutral sentence. " * 2000, "One."]))
+    model = toxicity_mil.Model(np.zeros((1 << toxicity_mil.BITS) + 1, np.float32), bias)
+    assert len(s.text) == 2001 and model.score(s)[0].max() == 0
