@@ -4,7 +4,8 @@ Rows with equal texts form atomic groups: they share a hash bucket, and buckets
 in hash order are the ordered groups whose sizes are partitioned. Their number
 is fixed, so the driver holds as many sizes for any input. The smallest
 feasible shard capacity is found by binary search, each step checked greedily
-over prefix sums, and the order is cut there.
+over prefix sums. Within it the order is cut towards equal shards: groups over
+the mean stand alone where they can, and the others share what is left.
 
 Slots number the rows of a shard without gaps. Every task counts its own rows a
 shard while it writes them; only those counts are summed up across tasks, so no
@@ -54,6 +55,35 @@ def minimax_cuts(sizes: np.ndarray, shards: int) -> tuple[int, list[int]]:
     return low, feasible(prefix, low, shards) or [len(sizes)] * shards
 
 
+def even_cuts(sizes: np.ndarray, shards: int) -> list[int]:
+    """The ends of `shards` contiguous runs, none over the smallest capacity and each as near as it can be to the mean of those left."""
+    capacity, _ = minimax_cuts(sizes, shards)
+    prefix = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    at, last, cuts = 0, len(sizes), []
+    for left in range(shards, 1, -1):
+        furthest = int(np.searchsorted(prefix, prefix[at] + capacity, "right")) - 1
+        rest = prefix[last] - prefix[at]
+        large, mean = np.zeros(0, np.int64), rest / left
+        while len(over := np.flatnonzero(sizes[at:] > mean)) > len(large):
+            large = over
+            mean = (rest - int(sizes[at:][large].sum())) / (left - len(large))
+        until = at + int(large[0]) if len(large) else last
+        run = int(prefix[until] - prefix[at])
+        if not run:
+            cut = min(until + 1, last)
+        else:
+            goal = prefix[at] + run / max(1, round(run / mean))
+            cut = int(np.searchsorted(prefix, goal, "right")) - 1
+            if cut < until and (cut == at or prefix[cut + 1] - goal < goal - prefix[cut]):
+                cut += 1
+        cut = min(cut, until if run else last, furthest)
+        if feasible(prefix[cut:] - prefix[cut], capacity, left - 1) is None:
+            cut = furthest
+        cuts.append(cut)
+        at = cut
+    return [*cuts, last]
+
+
 def assign(documents: DataFrame, shards: int = 16, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, size, text_crc32, law ('bytes'), shard, slot, grown_shard (null)."""
     text = F.coalesce(F.col(text_column), F.lit(""))
@@ -63,7 +93,7 @@ def assign(documents: DataFrame, shards: int = 16, id_column: str = "doc_id", te
     sums = rows.groupBy("bucket").agg(F.sum("size").alias("size")).toArrow()
     sizes = np.zeros(BUCKETS, np.int64)
     sizes[sums.column("bucket").to_numpy()] = sums.column("size").to_numpy()
-    _, cuts = minimax_cuts(sizes, shards)
+    cuts = even_cuts(sizes, shards)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         used, task = np.zeros(shards, np.int64), TaskContext.get().partitionId()

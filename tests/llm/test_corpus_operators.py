@@ -221,3 +221,21 @@ def test_length_alone_is_never_toxic(bias):
     s = toxicity_mil.split(pa.array(["A neutral sentence. " * 2000, "One."]))
     model = toxicity_mil.Model(np.zeros((1 << toxicity_mil.BITS) + 1, np.float32), bias)
     assert len(s.text) == 2001 and model.score(s)[0].max() == 0
+
+
+def test_shards_beside_a_large_group_are_even():
+    rng = random.Random(4)
+    for where in (0, 1, 1000, 2503, 3999):
+        sizes = np.array([rng.randrange(40, 60) for _ in range(4000)])
+        sizes[where] = 100_000  # a third of all
+        cuts = sharding.even_cuts(sizes, 16)
+        runs = [int(sizes[a:b].sum()) for a, b in zip([0, *cuts], cuts)]
+        assert sum(runs) == sizes.sum() and max(runs) == sharding.minimax_cuts(sizes, 16)[0]
+        others = sorted(runs)[:-1]
+        assert others[-1] <= 1.25 * 200_000 / 15 and (others[0] >= 0.75 * 200_000 / 15 or where == 1)
+    for _ in range(300):  # never over the smallest capacity, all in order
+        n, shards = rng.randrange(0, 30), rng.randrange(1, 9)
+        sizes = np.array([rng.choice([0, 1, 5, 9, 60, 200]) for _ in range(n)], np.int64)
+        cuts = sharding.even_cuts(sizes, shards)
+        assert len(cuts) == shards and cuts == sorted(cuts) and cuts[-1] == n
+        assert max(int(sizes[a:b].sum()) for a, b in zip([0, *cuts], cuts)) <= sharding.minimax_cuts(sizes, shards)[0]
