@@ -12,15 +12,16 @@ A document's set holds its distinct 5-word shingles; two documents link when
    uncounted, so they never gather in one task; classes made of little else
    meet in them in salted lists whose leaders meet again.
 3. Classes that share prefix shingles are partitioned into groups of similar
-   documents around a leader, large ones split by a bound on their shingles.
-   A group's task keeps clusters with the union of their shingles (the rows of
-   the token-group matrix), bounds a document's overlap with each union, and
-   opens only clusters that can qualify.
-4. What remains is pairs that share a prefix shingle and still lie in different
-   components: in three turns every component is held against one document of
-   another that it meets, then every pair is verified whose sets, less the
-   shingles that either has alone, can reach the threshold. No bucket, group
-   or partner list has a cap.
+   documents around a leader, bounded in shingles and documents. A group's task
+   holds the union of its shingles (a row of the token-group matrix) and under
+   each of them the members that have it: a document's overlap with the union
+   bounds that with every member, and only where it suffices members are
+   counted. Leaders visit all groups of those they lead.
+4. What remains are documents that share a prefix shingle with one of another
+   group and another component: whoever is not of a shingle's largest component
+   asks the groups of all others that have it, as rows of (document, group) and
+   never of two documents. A group that many ask goes to several tasks. No
+   bucket, group or list has a cap.
 
 Defined results: a null or empty text, or one without words, has the empty set
 and is its own component; fewer than five words make one shingle; a null id has
@@ -40,13 +41,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from tablelog.llm.components import components
-from tablelog.llm.store import discard, partitions_for, written
+from tablelog.llm.components import Forest, components
+from tablelog.llm.store import discard, partitions_for, spread_join, written
 from tablelog.llm.textbuf import mix64, shingle_sets, slices
 
 _U = np.uint64
-#: Shingles that one group's task opens at a time.
-GROUP_SHINGLES = 150_000
+#: Shingles and documents of a group, which one task opens at a time, and shingles of those that ask it in one task.
+GROUP_SHINGLES, GROUP_DOCUMENTS, ASKING_SHINGLES = 150_000, 4000, 1_000_000
 #: Classes with a partner up to which their ids are broadcast (16 bytes each); beyond, a shuffled join.
 BROADCAST_IDS = 2_000_000
 #: Documents sampled for very common shingles, and the share of them from which a shingle counts as such.
@@ -327,122 +328,171 @@ def _listed(names: np.ndarray, offsets: np.ndarray, node: np.ndarray, score: np.
         yield pa.RecordBatch.from_arrays([pa.array(names[a:b].view(np.int64)), *arrays, pa.array(weight[a:b].astype(np.int64)), pa.array(np.full(b - a, common))], names=["list", "members", "scores", "weight", "common"])
 
 
-def resolve(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Edges that connect a group's documents exactly as all their links do: each cluster a star around its least node.
+class Group:
+    """One row of the token-group matrix: the union of a group's shingles, and under each the members that have it."""
+
+    def __init__(self, nodes: list[int], sets: list[np.ndarray]):
+        self.nodes, self.sets = nodes, sets
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        everything = np.concatenate(sets)
+        order = np.argsort(everything, kind="stable")
+        self.have = np.repeat(np.arange(len(sets)), self.sizes)[order]
+        first = _runs(everything[order])
+        self.union = everything[order][first]
+        self.first = np.append(first, len(order))
+
+    def links(self, s: np.ndarray) -> np.ndarray:
+        """Members that link with the set; those of a group whose union can't give four fifths of the set are never looked at."""
+        at = np.searchsorted(self.union, s)
+        at[at == len(self.union)] = 0
+        at = at[self.union[at] == s]
+        if 100 * len(at) < 80 * len(s):
+            return np.zeros(0, np.int64)
+        count = self.first[at + 1] - self.first[at]
+        place = np.arange(count.sum()) + np.repeat(self.first[at] - (np.cumsum(count) - count), count)
+        both = np.bincount(self.have[place], minlength=len(self.nodes))
+        return np.flatnonzero(100 * both >= 80 * (len(s) + self.sizes - both))
 
-    Documents come smallest first. Each cluster has the union of its shingles;
-    a document that can't share four fifths of itself with it leaves it shut.
-    """
-    order = sorted(range(len(nodes)), key=lambda k: (len(sets[k]), nodes[k]))
-    clusters: list[tuple[list[int], np.ndarray]] = []
-    for q in order:
-        s = sets[q]
-        need = -(-4 * len(s) // 5)
-        mine, union, rest = [q], s, []
-        for members, tokens in clusters:
-            if overlap(s, tokens) >= need and any(linked(sets[m], s) for m in reversed(members)):
-                mine = members + mine
-                union = np.union1d(union, tokens)
-            else:
-                rest.append((members, tokens))
-        rest.append((mine, union))
-        clusters = rest
-    out = []
-    for members, _ in clusters:
-        centre = min(nodes[m] for m in members)
-        out += [(nodes[m], centre) for m in members if nodes[m] != centre]
-    return out
+
+def resolve(nodes: list[int], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """Links that connect a group's documents exactly as all their links do."""
+    group, known = Group(nodes, sets), Forest()
+    return [(nodes[q], nodes[m]) for q in range(len(nodes)) for m in group.links(sets[q]).tolist() if m != q and known.join(nodes[q], nodes[m])]
 
 
-def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (leader, salt, node, set), sorted by group, to the links of each group."""
-    key, nodes, sets, edges = None, [], [], []
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], names=["a", "b"])
 
-    def done():
-        if len(nodes) > 1:
-            edges.extend(resolve(nodes, sets))
 
+def _open_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (home, node, set), sorted by home, to the links within each group."""
+    home, nodes, sets = None, [], []
     for batch in batches:
-        for leader, salt, node, blob in zip(*(batch.column(k) for k in range(4))):
-            at = (leader.as_py(), salt.as_py())
-            if at != key:
-                done()
-                key, nodes, sets = at, [], []
-            if node.as_py() not in nodes[:1]:
-                nodes.append(node.as_py())
-                sets.append(np.frombuffer(blob.as_py(), np.uint64))
-        if edges:
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
-            edges.clear()
-    done()
-    if edges:
-        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in edges], pa.int64()), pa.array([b for _, b in edges], pa.int64())], names=["a", "b"])
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (a, b, set of a, set of b) that link."""
+        for at, node, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if at != home:
+                if len(nodes) > 1:
+                    yield _edges(resolve(nodes, sets))
+                home, nodes, sets = at, [], []
+            nodes.append(node)
+            sets.append(np.frombuffer(blob.as_py(), np.uint64))
+    if len(nodes) > 1:
+        yield _edges(resolve(nodes, sets))
+
+
+def _ask_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (home, part, asks, node, label, set), a group's members before those that ask it, to links between unlike labels."""
+    home, group, nodes, labels, sets, known = None, None, [], [], [], Forest()
     for batch in batches:
-        hit = [linked(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3))]
-        keep = pa.array(hit, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
+        found = []
+        for at, asks, node, label, blob in zip(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()), *(batch.column(k).to_pylist() for k in (2, 3, 4)), batch.column(5)):
+            if at != home:
+                home, group, nodes, labels, sets, known = at, None, [], [], [], Forest()
+            s = np.frombuffer(blob.as_py(), np.uint64)
+            if not asks:
+                nodes.append(node)
+                labels.append(label)
+                sets.append(s)
+                continue
+            group = group or (Group(nodes, sets) if nodes else None)
+            found += [(node, nodes[m]) for m in (group.links(s).tolist() if group else ()) if labels[m] != label and known.join(label, labels[m])]
+        if found:
+            yield _edges(found)
+
+
+def _homes(meeting: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(node, leader, n, home) of every class that meets another, and (home, node) of leaders that visit the groups of those they lead.
+
+    A class goes with the leader that it meets most, and families go together
+    whose leaders' longest list is the same. GROUP_SHINGLES and GROUP_DOCUMENTS
+    bound a home: larger companies are dealt by family, larger families by class.
+    """
+    led = written(meeting.groupBy("node", "leader").agg(F.sum("weight").alias("weight")).groupBy("node").agg(F.max_by("leader", F.struct(F.col("node") != F.col("leader"), "weight", -F.col("leader"))).alias("leader")))
+    length = meeting.groupBy("list").agg(F.count("*").alias("length"))
+    seat = meeting.join(led.select(F.col("leader").alias("node")).distinct(), "node", "left_semi").select("node", "list")
+    longest = spread_join(seat, length, "list").groupBy(F.col("node").alias("leader")).agg(F.max_by("list", F.struct("length", "list")).alias("company"))
+    placed = written(spread_join(led, longest, "leader").join(sets.select("node", "n"), "node"))
+    parts = lambda n, count: F.ceil(F.greatest(n / GROUP_SHINGLES, count / GROUP_DOCUMENTS)).cast("int")
+    families = written(placed.groupBy("company", "leader").agg(F.sum("n").alias("n"), F.count("*").alias("count")))
+    companies = families.groupBy("company").agg(parts(F.sum("n"), F.sum("count")).alias("parts"))
+    dealt = spread_join(families.select("company", "leader", (parts(F.col("n"), F.col("count")) > 1).alias("split")), companies, "company").select("leader", "parts", "split")
+    salt = F.pmod(F.xxhash64(F.when(F.col("split"), F.col("node")).otherwise(F.col("leader")), F.lit("salt")), F.col("parts"))
+    homes = written(spread_join(placed, dealt, "leader").select("node", "leader", "n", F.xxhash64("company", salt).alias("home")))
+    guests = homes.select("home", F.col("leader").alias("node")).distinct().join(homes.select("home", "node"), ["home", "node"], "left_anti")
+    discard(led, placed, families)
+    return homes, guests
 
 
 def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id reachable by links)."""
     n = partitions_for(documents)
     table = written(_sets(documents, id_column, text_column))
+    kind = table.schema["id"].dataType.simpleString()
     text = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(_common(documents, text_column))  # a hundred shingles a sampled document at most
     lists = written(
         text.mapInArrow(_deal(n, shared), _BLOCK).repartition(n, "r").mapInArrow(_shared(n), _BLOCK)
         .repartition(n, "r").mapInArrow(_prefixes(n), _BLOCK)
         .repartition(n, "r").mapInArrow(_meet(n), "list long, members array<long>, scores array<long>, weight long, common boolean"))
-    classes = written(table.where("sig IS NOT NULL AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least")).mapInArrow(_with_node, f"node long, least {table.schema['id'].dataType.simpleString()}, sig binary"))
-    flat = lists.select("list", F.explode(F.arrays_zip("members", "scores")).alias("z"), F.col("members")[0].alias("leader"), "weight", "common").select("list", F.col("z.members").alias("node"), F.col("z.scores").alias("score"), "leader", "weight", "common")
+    shared.unpersist()
+    classes = written(table.where("sig IS NOT NULL AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows")).mapInArrow(_with_node, f"node long, least {kind}, rows long, sig binary"))
+    flat = lists.where(F.size("members") > 1).select("list", F.explode(F.arrays_zip("members", "scores")).alias("z"), F.col("members")[0].alias("leader"), "weight", "common").select("list", F.col("z.members").alias("node"), F.col("z.scores").alias("score"), "leader", "weight", "common")
+    alone = lists.where((F.size("members") == 1) & F.col("common")).select("list", F.col("members")[0].alias("node"), F.col("scores")[0].alias("score"), F.col("members")[0].alias("leader"), "weight", "common")
     heads = lists.where("common").select("list", F.col("members")[0].alias("node"), F.col("scores")[0].alias("score"))
     tops = heads.groupBy("list").agg(F.min_by("node", F.struct("score", "node")).alias("leader"), F.count("*").alias("n")).where("n > 1").drop("n")
-    meeting = written(flat.unionByName(heads.join(tops, "list").where("node <> leader").select("list", "node", "score", "leader", F.lit(1).cast("long").alias("weight"), F.lit(True).alias("common"))))
+    meeting = written(flat.unionByName(alone).unionByName(heads.join(tops, "list").where("node <> leader").select("list", "node", "score", "leader", F.lit(1).cast("long").alias("weight"), F.lit(True).alias("common"))))
     discard(lists)
-    leaders = meeting.where("node <> leader").groupBy("node", "leader").agg(F.sum("weight").alias("weight")).groupBy("node").agg(F.max_by("leader", F.struct("weight", -F.col("leader"))).alias("leader"))
-    own = written(meeting.groupBy("node").agg(F.max(F.when(~F.col("common"), F.col("score"))).alias("alone")).select("node", F.coalesce("alone", F.lit(0)).alias("alone")))
     sets = written(_sets_of(documents, classes, meeting, id_column, text_column))
-    members = written(leaders.join(sets.select("node", "n"), "node"))
-    salts = members.groupBy("leader").agg(F.ceil(F.sum("n") / GROUP_SHINGLES).cast("int").alias("salts"))
-    salted = members.join(salts, "leader").select("leader", F.pmod(F.xxhash64("node"), F.col("salts")).cast("int").alias("salt"), "node")
-    grouped = written(salted.union(salted.select("leader", "salt", F.col("leader").alias("node")).distinct()))
-    opened = grouped.join(sets, "node").select("leader", "salt", "node", "set").repartition(n, "leader", "salt").sortWithinPartitions("leader", "salt")
+    homes, guests = _homes(meeting, sets)
+    present = homes.select("home", "node").unionByName(guests)
+    opened = present.join(sets, "node").select("home", "node", "set").repartition(n, "home").sortWithinPartitions("home")
     edges = written(opened.mapInArrow(_open_groups, "a long, b long"))
     labels = components(edges)
-    for turn in ("likest", 1, 2, "all"):
-        open_ = written(meeting.join(labels, "node", "left").select("list", "node", "score", F.coalesce("label", "node").alias("label")))
-        choice = F.struct("score", "node") if turn == "likest" else F.xxhash64("node", F.lit(str(turn)))
-        mixed = written(open_.groupBy("list").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.min_by(F.struct("node", "label"), choice).alias("head")).where("low < high").select("list", F.col("head.node").alias("a"), F.col("head.label").alias("of")))
-        if not mixed.limit(1).count():
-            discard(open_, mixed)
-            break
-        if turn == "all":
-            sized = open_.join(mixed.select("list"), "list", "left_semi").select("list", "node", "label").distinct().join(sets.select("node", "n"), "node").join(own, "node")
-            other = sized.select("list", F.col("node").alias("b"), F.col("label").alias("other"), F.col("n").alias("m"), F.col("alone").alias("lone"))
-            # no more can be common than either has beyond its own shingles
-            most = "least(n - alone, m - lone)"
-            pairs = sized.join(other, "list").where(f"label < other AND 100 * {most} >= 80 * (n + m - {most})").select(F.col("node").alias("a"), "b").distinct()
-        else:
-            pairs = open_.join(mixed, "list").where("label <> of").groupBy("list", "label", "a").agg(F.min_by("node", choice).alias("b")).select("a", "b").distinct()
-        new = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(_verify, "a long, b long")
-        more = written(edges.union(new))
-        discard(edges, labels, open_, mixed)
-        edges = more
-        labels = components(edges)
-    labels = written(labels)
-    of_label = labels.join(classes, "node").groupBy("label").agg(F.min("least").alias("component"))
-    found = written(classes.join(labels, "node", "left").join(of_label, "label", "left").select("sig", F.coalesce("component", "least").alias("component")))
-    discard(edges, own, meeting, members, grouped, sets, classes)
-    return table.join(found, "sig", "left").select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component", "id")).alias("component_id"))
+    meets = written(meeting.select("list", "node", "score").distinct().join(homes.select("node", "home", "n"), "node"))
+    # whoever is not of a list's largest component asks every other group of the list
+    open_ = _labelled(meets, labels)
+    of_label = open_.groupBy("list", "label").agg(F.count("*").alias("n"))
+    largest = of_label.groupBy("list").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.count("*").alias("n")).where("n > 1").select("list", "largest")
+    there = open_.groupBy("list", "home").agg(F.min("label").alias("low"), F.max("label").alias("high")).withColumnRenamed("home", "at")
+    asking = open_.join(largest, "list").where("label <> largest").select("list", "node", "label", "home", "n").join(there, "list").where("home <> at AND (low <> label OR high <> label)")
+    asking = written(asking.groupBy("at", "node").agg(F.first("label").alias("label"), F.first("n").alias("n")))
+    parts = written(asking.groupBy("at").agg(F.ceil(F.sum("n") / ASKING_SHINGLES).cast("int").alias("parts")))
+    tasks = max(n, 2 * (parts.agg(F.sum("parts")).first()[0] or 0))  # so that few of them share one
+    asked = spread_join(homes.select("node", F.col("home").alias("at")), parts, "at").join(labels, "node", "left").select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), "node", F.coalesce("label", "node").alias("label"))
+    asks = spread_join(asking, parts, "at").select("at", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("asks"), "node", "label")
+    dealt = asked.unionByName(asks).join(sets.select("node", "set"), "node").select("at", "part", "asks", "node", "label", "set").repartition(tasks, "at", "part").sortWithinPartitions("at", "part", "asks")
+    more = written(edges.union(dealt.mapInArrow(_ask_groups, "a long, b long")))
+    discard(edges, labels, open_, meets, asking, parts, meeting, homes, sets)
+    labels = components(more)
+    found = written(_named(classes, labels))
+    discard(more, labels, classes)
+    return _answer(table, found, id_column)
+
+
+def _labelled(meets: DataFrame, labels: DataFrame) -> DataFrame:
+    return written(meets.join(labels, "node", "left").select("list", "node", "score", "home", "n", F.coalesce("label", "node").alias("label")))
+
+
+def _named(classes: DataFrame, labels: DataFrame) -> DataFrame:
+    """(sig, rows, component) of every class: the least id of all that its label joins."""
+    labelled = written(classes.join(labels, "node").select("sig", "rows", "least", "label"))
+    least = written(labelled.groupBy("label").agg(F.min("least").alias("component")))
+    joined = spread_join(labelled, least, "label").select("sig", "rows", "component")
+    return joined.unionByName(classes.join(labels, "node", "left_anti").select("sig", "rows", F.col("least").alias("component")))
+
+
+def _answer(table: DataFrame, found: DataFrame, id_column: str) -> DataFrame:
+    """The rows of `table` with their component; classes of very many rows are broadcast, empty sets join nothing."""
+    many = max(10_000, table.count() // 1000)  # so at most a thousand classes
+    hot = F.broadcast(found.where(F.col("rows") > many).select("sig", "component"))
+    some = table.where("sig IS NOT NULL AND id IS NOT NULL")
+    rows = some.join(hot, "sig").unionByName(some.join(hot, "sig", "left_anti").join(found.where(F.col("rows") <= many).select("sig", "component"), "sig"))
+    rows = rows.select("id", "n", "component").unionByName(table.where("sig IS NULL OR id IS NULL").select("id", "n", F.col("id").alias("component")))
+    return rows.select(F.col("id").alias(id_column), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
 
 
 def _with_node(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in batch.column(0).to_pylist()], pa.int64()), batch.column(1), batch.column(0)], names=["node", "least", "sig"])
+        yield pa.RecordBatch.from_arrays([pa.array([node_of(s) for s in batch.column(0).to_pylist()], pa.int64()), batch.column(1), batch.column(2), batch.column(0)], names=["node", "least", "rows", "sig"])
 
 
 def _sets_of(documents: DataFrame, classes: DataFrame, meeting: DataFrame, id_column: str, text_column: str) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -19,11 +19,18 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/tablelog-{uuid.uuid4().hex}"
 
 
+def _file(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
 def written(df: DataFrame) -> DataFrame:
-    """`df` as a table in the shared folder: computed once, safe when executors are lost."""
+    """`df` as a table in the shared folder: computed once, safe when executors are lost, gone at the end of the application."""
     spark = df.sparkSession
     path = shared_folder(spark)
     df.write.parquet(path)
+    system, p = _file(spark, path)
+    system.deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._tablelog_path = path
     return out
@@ -34,10 +41,25 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         path = getattr(t, "_tablelog_path", None)
         if path:
-            spark = t.sparkSession
-            jvm = spark._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+            system, p = _file(t.sparkSession, path)
+            system.delete(p, True)
+
+
+#: Rows (of two or three short columns) up to which one side of a join is broadcast, and copies of that side beyond it.
+BROADCAST_ROWS, COPIES = 1_000_000, 16
+
+
+def spread_join(rows: DataFrame, keyed: DataFrame, key: str, how: str = "inner", n: int | None = None) -> DataFrame:
+    """Join of `rows` with `keyed`, one row a key and `n` in all, where any share of `rows` may have one key.
+
+    A counted small side is broadcast; of a larger one every key is copied to
+    some tasks, among which the rows of a key are dealt.
+    """
+    if (keyed.count() if n is None else n) <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(keyed), key, how)
+    dealt = rows.withColumn("_copy", F.pmod(F.xxhash64(*rows.columns), F.lit(COPIES)))
+    copied = keyed.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(COPIES - 1).cast("long"))))
+    return dealt.join(copied, [key, "_copy"], how).drop("_copy")
 
 
 def input_bytes(df: DataFrame) -> int:

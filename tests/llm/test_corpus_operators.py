@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tablelog.llm import jaccard_join, quality_cnn, sharding, toxicity_mil
+from tablelog.llm import components as components_, jaccard_join, quality_cnn, sharding, store, toxicity_mil
 from tablelog.llm.components import components
 
 from .conftest import prose
@@ -70,7 +70,10 @@ def test_components_against_brute_force(spark, corpus, monkeypatch):
     df = spark.createDataFrame(corpus, "doc_id long, text string").repartition(4)
     got = sorted(map(tuple, jaccard_join.jaccard_components(df).collect()))
     assert got == want
-    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 900)  # groups are split, links across them found later
+    monkeypatch.setattr(jaccard_join, "GROUP_SHINGLES", 900)  # groups are split, links across them found by asking
+    monkeypatch.setattr(jaccard_join, "ASKING_SHINGLES", 300)
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(components_, "LAST_LINKS", 0)
     monkeypatch.setattr(jaccard_join, "BROADCAST_IDS", 0)
     assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == want
 
@@ -83,6 +86,16 @@ def test_components_of_edge_cases(edge, edge_rows, empty):
     assert jaccard_join.jaccard_components(empty).count() == 0
 
 
+def test_groups_smaller_than_their_families(spark, monkeypatch):
+    """Groups of a few documents each: nearly every link is found by documents that ask other groups."""
+    rng = random.Random(17)
+    base = prose(rng, 70)
+    rows = [(k, t) for k, t in enumerate(family(rng, base, 150, 4) + family(rng, prose(rng, 30), 40, 2))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(jaccard_join, "GROUP_DOCUMENTS", 3)
+    assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == brute_components(rows)
+
+
 def test_group_resolution_keeps_connectivity():
     rng = np.random.default_rng(1)
     for _ in range(30):
@@ -107,7 +120,9 @@ def test_group_resolution_keeps_connectivity():
         assert {frozenset(k for k in range(12) if find(k) == r) for r in map(find, range(12))} == want
 
 
-def test_components_of_a_path(spark):
+@pytest.mark.parametrize("last", [0, 500_000])
+def test_components_of_a_path(spark, monkeypatch, last):
+    monkeypatch.setattr(components_, "LAST_LINKS", last)
     edges = [(k, k + 1) for k in range(40)] + [(100, 101), (103, 101)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert set(got) == {*range(41), 100, 101, 103} and len({got[k] for k in range(41)}) == 1 and got[0] in range(41)
