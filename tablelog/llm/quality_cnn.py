@@ -1,11 +1,10 @@
 """Text quality by a byte-level convolutional network in numpy.
 
-Every position of a text has a learned input vector: that of its byte, plus one
-more where the last bytes repeat those a little earlier. Filters of `WIDTH`
-bytes run over overlapping chunks that together cover the whole text, each
-chunk is max-pooled per filter, and one logistic unit combines the maximum and
-the mean over chunks into the probability of label 1. Gradients run through the
-max-pooling to the winning positions only.
+Every byte has a learned input vector. Filters of `WIDTH` bytes run over
+overlapping chunks that together cover the whole text, each chunk is max-pooled
+per filter, and one logistic unit combines the maximum and the mean over chunks
+into the probability of label 1. Gradients run through the max-pooling to the
+winning positions only. A score depends on nothing but its text.
 
 Defined results: a null or empty text is one chunk of padding and gets that
 chunk's score; a null id stays null; repeated rows give repeated results; an
@@ -24,29 +23,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablelog.llm.labelled import labelled_rows
-from tablelog.llm.textbuf import slices, text_buffer
+from tablelog.llm.textbuf import slices, text_buffer, tidy
 
-WIDTH, FILTERS, CHANNELS, CHUNK = 6, 8, 8, 256
-LAGS, RUN = range(2, 13), 10
-SYMBOLS = 512  # byte, plus 256 where it ends a repetition
-
-
-def symbols(data: np.ndarray) -> np.ndarray:
-    """Byte values, raised by 256 where the last RUN bytes equal those some lag earlier."""
-    out = data.astype(np.int32)
-    n = len(data)
-    for lag in LAGS:
-        if n <= lag + RUN:
-            break
-        same = np.concatenate([[0], np.cumsum(data[lag:] == data[:-lag], dtype=np.int32)])
-        full = np.flatnonzero(same[RUN:] - same[:-RUN] == RUN)
-        out[full + lag + RUN - 1] |= 256
-    return out
+WIDTH, FILTERS, CHANNELS, CHUNK = 8, 16, 8, 256
+STRIDE = 224  # from chunk to chunk: neighbours share 32 bytes
+SYMBOLS, PADDING = 257, 256  # bytes, and what stands behind a text
 
 
 @dataclass
 class Layout:
-    """Texts laid out one after another, each with WIDTH - 1 symbols of padding behind it."""
+    """Texts laid out one after another, each with padding behind it."""
 
     symbols: np.ndarray
     chunk_start: np.ndarray  # into the positions of the convolution
@@ -61,13 +47,13 @@ def lay_out(column: pa.Array) -> Layout:
     lengths = np.diff(offsets)
     room = np.maximum(lengths, 1) + WIDTH - 1
     start = np.cumsum(room) - room
-    out = np.zeros(int(room.sum()) + 1, np.int32)
+    out = np.full(int(room.sum()) + 1, PADDING, np.int32)
     place = np.arange(len(data)) + np.repeat(start - offsets[:-1], lengths)
-    out[place] = symbols(data)
-    chunks = -(-np.maximum(lengths, 1) // CHUNK)
+    out[place] = data
+    chunks = 1 + -(-np.maximum(lengths - CHUNK, 0) // STRIDE)
     text = np.repeat(np.arange(n), chunks)
     first = np.cumsum(chunks) - chunks
-    begin = start[text] + (np.arange(len(text)) - first[text]) * CHUNK
+    begin = start[text] + (np.arange(len(text)) - first[text]) * STRIDE
     return Layout(out, begin, np.minimum(begin + CHUNK, (start + np.maximum(lengths, 1))[text]), text, n)
 
 
@@ -103,7 +89,7 @@ class Network:
         return out
 
     def pool(self, lay: Layout, tables: np.ndarray) -> np.ndarray:
-        """[chunks, FILTERS]: the maximum, rectified. A chunk's windows reach WIDTH - 1 bytes into the next."""
+        """[chunks, FILTERS]: the maximum, rectified."""
         return np.maximum(chunk_maxima(self.respond(lay, tables), lay) + self.shift, 0)
 
     def combine(self, pooled: np.ndarray, lay: Layout) -> np.ndarray:
@@ -127,7 +113,36 @@ class Network:
         return self._tables
 
 
-def fit(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 64, seed: int = 7) -> Network:
+def gradients(net: Network, column: pa.Array, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
+    """Of the mean weighted log-loss, by every parameter; the pooling passes them to the winning positions."""
+    lay = lay_out(column)
+    r = net.respond(lay, net.tables())
+    top = chunk_maxima(r, lay)
+    size = lay.chunk_end - lay.chunk_start
+    owner = np.repeat(np.arange(len(size)), size)
+    place = np.arange(len(owner)) + np.repeat(lay.chunk_start - (np.cumsum(size) - size), size)
+    where = np.zeros(top.shape, np.int64)
+    for f in range(FILTERS):
+        hit = np.flatnonzero(r[f, place] == top[owner, f])[::-1]  # of equal positions the first wins
+        where[owner[hit], f] = place[hit]
+    pooled = np.maximum(top + net.shift, 0)
+    x = net.combine(pooled, lay)
+    dz = (1 / (1 + np.exp(-(x @ net.head + net.bias))) - y) * weight / len(y)
+    dx = dz[:, None] * net.head
+    count = np.bincount(lay.chunk_text, minlength=lay.n_texts)
+    is_top = pooled == x[lay.chunk_text, :FILTERS]
+    ties = np.zeros((lay.n_texts, FILTERS))
+    np.add.at(ties, lay.chunk_text, is_top)
+    dp = is_top * (dx[:, :FILTERS] / np.maximum(ties, 1))[lay.chunk_text] + (dx[:, FILTERS:] / count[:, None])[lay.chunk_text]
+    dp *= pooled > 0
+    d_table = np.zeros((WIDTH, SYMBOLS, FILTERS))
+    fs = np.broadcast_to(np.arange(FILTERS), where.shape)
+    for w in range(WIDTH):
+        np.add.at(d_table[w], (lay.symbols[where + w], fs), dp)
+    return {"embed": np.einsum("wsf,wcf->sc", d_table, net.kernel), "kernel": np.einsum("wsf,sc->wcf", d_table, net.embed), "shift": dp.sum(0), "head": x.T @ dz, "bias": dz.sum()}
+
+
+def fit(texts: list[str], y: np.ndarray, epochs: int = 14, batch: int = 64, seed: int = 7) -> Network:
     """Adam on the log-likelihood, classes weighted alike; each epoch sees every text of the sample whole."""
     rng = np.random.default_rng(seed)
     net = Network(rng.normal(0, 0.5, (SYMBOLS, CHANNELS)), rng.normal(0, 0.3, (WIDTH, CHANNELS, FILTERS)), np.zeros(FILTERS), np.zeros(2 * FILTERS), 0.0)
@@ -136,50 +151,16 @@ def fit(texts: list[str], y: np.ndarray, epochs: int = 12, batch: int = 64, seed
         return net
     net.head = np.where(np.arange(2 * FILTERS) % 2, 0.3, -0.3) / FILTERS
     weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
-    names = ["embed", "kernel", "shift", "head", "bias"]
-    moment = {k: [np.zeros_like(getattr(net, k)), np.zeros_like(getattr(net, k))] for k in names}
+    moment: dict[str, list] = {}
     column, t = pa.array(texts, pa.string()), 0
-    for epoch in range(epochs):
+    for _ in range(epochs):
         order = rng.permutation(len(y))
         for k in range(0, len(order), batch):
-            pick = order[k : k + batch]
-            lay = lay_out(column.take(pa.array(pick)))
-            tables = net.tables()
-            r = net.respond(lay, tables)
-            top = chunk_maxima(r, lay)
-            # the winning position of each chunk and filter
-            size = lay.chunk_end - lay.chunk_start
-            owner = np.repeat(np.arange(len(size)), size)
-            place = np.arange(len(owner)) + np.repeat(lay.chunk_start - (np.cumsum(size) - size), size)
-            where = np.zeros(top.shape, np.int64)
-            for f in range(FILTERS):
-                hit = np.flatnonzero(r[f, place] == top[owner, f])[::-1]
-                where[owner[hit], f] = place[hit]
-            pooled = np.maximum(top + net.shift, 0)
-            x = net.combine(pooled, lay)
-            p = 1 / (1 + np.exp(-(x @ net.head + net.bias)))
-            dz = (p - y[pick]) * weight[pick] / len(pick)
-            dx = dz[:, None] * net.head
-            count = np.bincount(lay.chunk_text, minlength=lay.n_texts)
-            is_top = pooled == x[lay.chunk_text, :FILTERS]
-            ties = np.zeros((lay.n_texts, FILTERS))
-            np.add.at(ties, lay.chunk_text, is_top)
-            dp = is_top * (dx[:, :FILTERS] / np.maximum(ties, 1))[lay.chunk_text] + (dx[:, FILTERS:] / count[:, None])[lay.chunk_text]
-            dp *= pooled > 0
-            d_table = np.zeros((WIDTH, SYMBOLS, FILTERS))
-            fs = np.broadcast_to(np.arange(FILTERS), where.shape)
-            for w in range(WIDTH):
-                np.add.at(d_table[w], (lay.symbols[where + w], fs), dp)
-            grads = {
-                "embed": np.einsum("wsf,wcf->sc", d_table, net.kernel), "kernel": np.einsum("wsf,sc->wcf", d_table, net.embed),
-                "shift": dp.sum(0), "head": x.T @ dz + 1e-4 * net.head, "bias": dz.sum(),
-            }
-            t += 1
-            for name in names:
-                m, v = moment[name]
-                m = 0.9 * m + 0.1 * grads[name]
-                v = 0.99 * v + 0.01 * grads[name] ** 2
-                moment[name] = [m, v]
+            pick, t = order[k : k + batch], t + 1
+            for name, g in gradients(net, column.take(pa.array(pick)), y[pick], weight[pick]).items():
+                g = g + 1e-4 * net.head if name == "head" else g
+                m, v = moment.get(name, (0.0, 0.0))
+                moment[name] = m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g**2
                 setattr(net, name, getattr(net, name) - 0.02 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8))
     net.shift, net.head, net.bias = net.shift.astype(np.float32), net.head.astype(np.float32), float(net.bias)
     return net
@@ -194,7 +175,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 600, most_by
 
 def score_texts(documents: DataFrame, net: Network, id_column: str = "doc_id", text_column: str = "text", threshold: float = 0.3) -> DataFrame:
     """Per row: id, score (probability of label 1) and predicted (score >= threshold)."""
-    shared = documents.sparkSession.sparkContext.broadcast(net)  # some 40 kB
+    shared = documents.sparkSession.sparkContext.broadcast(net)  # some 150 kB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
@@ -204,5 +185,5 @@ def score_texts(documents: DataFrame, net: Network, id_column: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score, pa.float64()), pa.array((score >= threshold).astype(np.int32))], names=["id", "score", "predicted"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, score double, predicted int")
+    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(tidy(run), f"id {kind}, score double, predicted int")
     return out.withColumnRenamed("id", id_column)
