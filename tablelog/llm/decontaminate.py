@@ -5,7 +5,8 @@ characters other than letters and digits one space. An item may occur with up
 to `error_rate` of its length in edits. It is split into one piece more than
 that budget, so any such occurrence holds some piece exactly; an Aho-Corasick
 automaton finds all pieces, and each hit is verified by Myers' bit-parallel
-edit distance over the window around it.
+edit distance over the window around it. An item so short that it has no budget
+must stand as whole words.
 
 Defined results: a null or empty text has no match; an item that is empty after
 normalising, or null, matches nothing; a null id stays null; repeated rows give
@@ -24,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tablelog.llm.textbuf import LOWER, slices, text_buffer
+from tablelog.llm.textbuf import LOWER, slices, text_buffer, tidy
 
 _PLAIN = LOWER.copy()
 _KEEP = np.zeros(256, bool)
@@ -81,18 +82,20 @@ class Items:
     """Test items and the pieces by which they are found."""
 
     keys: list
+    kind: pa.DataType
     texts: list[bytes]
     budgets: list[int]
     pieces: dict[str, list[tuple[int, int]]]  # piece -> (item, where it begins in the item)
 
     @staticmethod
-    def of(rows: list[tuple], error_rate: float, least_piece: int = 8) -> "Items":
-        out = Items([], [], [], defaultdict(list))
-        for key, text in rows:
+    def of(rows: pa.Table, error_rate: float) -> "Items":
+        """`rows` has the item's id and its text."""
+        out = Items([], rows.schema.field(0).type, [], [], defaultdict(list))
+        for key, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
             p = plain(text)
             if not p:
                 continue
-            budget = min(int(len(p) * error_rate), max(0, len(p) // least_piece - 1))
+            budget = int(len(p) * error_rate)
             cut = [len(p) * k // (budget + 1) for k in range(budget + 2)]
             for a, b in zip(cut, cut[1:]):
                 out.pieces[p[a:b].decode("latin-1")].append((len(out.keys), a))
@@ -118,6 +121,10 @@ def matches(text: bytes, items: Items, automaton) -> list[tuple[int, int, int, i
     out = []
     for item, starts in hits.items():
         p, k = items.texts[item], items.budgets[item]
+        if not k:  # every hit is the whole item
+            whole = [s for s in sorted(starts) if (s == 0 or text[s - 1] == 0x20) and (s + len(p) == len(text) or text[s + len(p)] == 0x20)]
+            out += [(item, 0, s, s + len(p)) for s in whole[:1]]
+            continue
         best = None
         done = -1
         for s in sorted(starts):
@@ -137,31 +144,36 @@ def matches(text: bytes, items: Items, automaton) -> list[tuple[int, int, int, i
     return sorted(out)
 
 
-def find_leaks(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", items_at_once: int = 20_000) -> DataFrame:
+def find_leaks(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", item_text: str = "text", most_bytes: int = 2 << 20) -> DataFrame:
     """Per document and item that occurs in it: id, item, distance, start and end (UTF-8 bytes of the text).
 
-    `items_at_once` bounds what is broadcast; more items take further scans.
+    About `most_bytes` of item text are broadcast at a time, some 100 bytes of
+    automaton each; more take further scans.
     """
     spark = documents.sparkSession
     id_kind, item_kind = documents.schema[id_column].dataType.simpleString(), benchmark.schema[item_column].dataType.simpleString()
     schema = f"id {id_kind}, item {item_kind}, distance int, start long, end long"
     source = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    parts = max(1, -(-benchmark.count() // items_at_once))
     out = None
-    for part in range(parts):
-        mine = benchmark.select(F.col(item_column).alias("item"), F.col(item_text).alias("text")).where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        items = Items.of([(r["item"], r["text"]) for r in mine.orderBy("item").toLocalIterator()], error_rate)
-        shared = spark.sparkContext.broadcast(items)
-        found = source.mapInArrow(_scanner(shared), schema)
+    for items in _parts(benchmark, error_rate, item_column, item_text, most_bytes):
+        found = source.mapInArrow(tidy(_scanner(spark.sparkContext.broadcast(items))), schema)
         out = found if out is None else out.unionByName(found)
     return out.withColumnsRenamed({"id": id_column, "item": item_column})
 
 
+def _parts(benchmark: DataFrame, error_rate: float, item_column: str, item_text: str, most_bytes: int) -> Iterator[Items]:
+    """The items, about `most_bytes` of text at a time."""
+    rows = benchmark.select(F.col(item_column).alias("item"), F.col(item_text).alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = -(-total // most_bytes) or 1
+    for part in range(parts):
+        yield Items.of(rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part).orderBy("item", "text").toArrow(), error_rate)
+
+
 def _scanner(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         items = shared.value
         automaton = items.automaton() if items.keys else None
-        item_type = None
         for batch in batches:
             if automaton is None:
                 continue
@@ -177,23 +189,19 @@ def _scanner(shared):
                         rows.append((a + k, items.keys[item], distance, int(at[x + s] - origin[k]), int(at[x + e - 1] + 1 - origin[k])))
             if rows:
                 pick, keys, distance, start, end = zip(*rows)
-                item_type = pa.int64() if isinstance(keys[0], int) else pa.string()
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick)), pa.array(keys, item_type), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["id", "item", "distance", "start", "end"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(pick)), pa.array(keys, items.kind), pa.array(distance, pa.int32()), pa.array(start, pa.int64()), pa.array(end, pa.int64())], names=["id", "item", "distance", "start", "end"])
 
     return run
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", items_at_once: int = 20_000) -> DataFrame:
+def keep_clean(documents: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, text_column: str = "text", item_column: str = "item_id", item_text: str = "text", most_bytes: int = 2 << 20) -> DataFrame:
     """The rows of `documents`, all columns, in which no item occurs; nothing is shuffled.
 
-    More than `items_at_once` items are held against the rows in turn, in one stage.
+    More than `most_bytes` of items are held against the rows in turn, in one stage.
     """
     at = documents.columns.index(text_column)
-    parts = max(1, -(-benchmark.count() // items_at_once))
-    for part in range(parts):
-        mine = benchmark.select(F.col(item_column).alias("item"), F.col(item_text).alias("text")).where(F.pmod(F.xxhash64("item", "text"), F.lit(parts)) == part)
-        items = Items.of([(r["item"], r["text"]) for r in mine.toLocalIterator()], error_rate)
-        documents = documents.mapInArrow(_sieve(documents.sparkSession.sparkContext.broadcast(items), at), documents.schema)
+    for items in _parts(benchmark, error_rate, item_column, item_text, most_bytes):
+        documents = documents.mapInArrow(tidy(_sieve(documents.sparkSession.sparkContext.broadcast(items), at)), documents.schema)
     return documents
 
 
