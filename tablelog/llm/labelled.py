@@ -6,28 +6,24 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def fold(id_column: str | Column) -> Column:
-    """crc32 of the id as text, modulo 5; remainder 0 is held out."""
+    """crc32 of the id as text, modulo 5; remainder 0 is held out, a null id has null."""
     c = F.col(id_column) if isinstance(id_column, str) else id_column
     return F.crc32(c.cast("string")) % 5
 
 
 def sample_ids(labels: DataFrame, column: str, per_class: int, id_column: str = "doc_id") -> DataFrame:
-    """At most about `per_class` (twice that at the very most) labelled ids a class, by a hash of the id.
+    """At most `per_class` labelled ids a class, those of the least hashes, so the same at every run.
 
-    Rows without id or label, and those of the held-out fold, are left out.
+    Rows without id or label, and those of the held-out fold, are left out; an
+    id with unlike labels has the larger one.
     """
-    known = labels.select(F.col(id_column).alias("id"), F.col(column).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (fold("id") != 0)).dropDuplicates(["id"])
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    parts = []
-    for y in (0, 1):
-        share = min(1.0, per_class / max(1, counts.get(y, 0)))
-        picked = known.where((F.col("y") == y) & (F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(share * (1 << 20)))) if share < 1 else known.where(F.col("y") == y)
-        parts.append(picked.limit(2 * per_class))
+    known = labels.select(F.col(id_column).alias("id"), F.col(column).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (fold("id") != 0)).groupBy("id").agg(F.max("y").alias("y"))
+    parts = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(per_class) for y in (0, 1)]
     return parts[0].unionByName(parts[1])
 
 
 def labelled_rows(documents: DataFrame, labels: DataFrame, column: str, per_class: int, most_bytes: int | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(id, text, y) of the sample; the broadcast side holds 4 * per_class ids at most.
+    """(id, text, y) of the sample; the broadcast side holds 2 * per_class ids at most.
 
     `most_bytes` leaves longer texts out of the sample, so its total size is bounded.
     """

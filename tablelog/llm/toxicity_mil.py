@@ -1,12 +1,19 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences. Each sentence has a logistic score over
-hashed word features (the word and its byte prefixes, lower-cased), the document
-score is the noisy-or of its sentences, and only documents carry labels: the
-likelihood of the noisy-or is maximised by proximal gradient steps with an L1
-penalty. The sentence scores then locate what offends.
+hashed word features (the word and its byte prefixes, lower-cased), where no
+feature counts against the label, and only documents carry labels. With q for
+the score of a sentence without any evidence, a fixed background, and one
+learned chance c that a document is toxic whatever its sentences say, the law is
 
-Defined results: a null or empty text has no sentence and the score 0; a null
+    1 - score(document) = (1 - c) * product over sentences of (1 - p) / (1 - q),
+
+a noisy-or in which neutral sentences weigh nothing, so length alone never
+makes a text toxic. Training maximises the likelihood of this same law by
+proximal gradient steps with an L1 penalty. The sentence scores p then locate
+what offends.
+
+Defined results: a null or empty text has no sentence and the score c; a null
 id stays null; repeated rows give repeated results; an empty table gives an
 empty one; without labelled rows of both classes every score is the share of
 label 1 in the sample (0 without any); further columns, whatever their names,
@@ -23,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from tablelog.llm.labelled import fold, labelled_rows
-from tablelog.llm.textbuf import LOWER, slices, span_hashes, text_buffer, words
+from tablelog.llm.textbuf import LOWER, slices, span_hashes, text_buffer, tidy, words
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7, 8)
-#: What a sentence without evidence may weigh in training; scoring leaves it out, or what the fitted bias weighs if that is more, so that length alone never makes a text toxic.
-FLOOR = float(np.logaddexp(0, -4.0))
+#: The logit of a sentence without evidence.
+BACKGROUND = -4.0
 _PUNCTUATION = np.zeros(256, bool)
 _PUNCTUATION[np.frombuffer(b".,;:!?\"'()[]{}*#$%&|<>-_~`", np.uint8)] = True
 _STOP = np.zeros(256, bool)
@@ -82,23 +89,23 @@ def split(column: pa.Array) -> Sentences:
 @dataclass
 class Model:
     weights: np.ndarray  # one per slot, and a 0 for "none" at the end
-    bias: float
+    chance: float = 0.0  # c of the law, as -log(1 - c)
     constant: float | None = None
 
     def logits(self, s: Sentences) -> np.ndarray:
         each = self.weights[s.features].sum(1)
-        return self.bias + np.bincount(s.sentence, each, len(s.text))
+        return BACKGROUND + np.bincount(s.sentence, each, len(s.text))
 
     def score(self, s: Sentences) -> tuple[np.ndarray, np.ndarray]:
-        """Noisy-or of every text, and the score of every sentence."""
+        """The law for every text, and the score of every sentence."""
         if self.constant is not None:
             return np.full(s.n_texts, self.constant), np.full(len(s.text), self.constant)
         z = self.logits(s)
-        evidence = np.maximum(np.logaddexp(0, z) - max(FLOOR, float(np.logaddexp(0, self.bias))), 0)
-        return -np.expm1(-np.bincount(s.text, evidence, s.n_texts)), 1 / (1 + np.exp(-z))
+        evidence = np.bincount(s.text, np.logaddexp(0, z) - np.logaddexp(0, BACKGROUND), s.n_texts)
+        return -np.expm1(-self.chance - evidence), 1 / (1 + np.exp(-z))
 
 
-def fit(texts: list[str], y: np.ndarray, features: int = 4000, least: int = 3, steps: int = 300, l1: float = 2e-5) -> Model:
+def fit(texts: list[str], y: np.ndarray, features: int = 4000, least: int = 3, steps: int = 300, l1: float = 2e-4) -> Model:
     """Noisy-or maximum likelihood over the `features` slots most tied to label 1."""
     none = Model(np.zeros((1 << BITS) + 1, np.float32), 0.0, float(y.mean()) if len(y) else 0.0)
     if not len(y) or y.min() == y.max():
@@ -131,23 +138,22 @@ def fit(texts: list[str], y: np.ndarray, features: int = 4000, least: int = 3, s
         owners.append(s.text + a)
         seen += len(s.text)
     row, column, text = np.concatenate(rows), np.concatenate(columns), np.concatenate(owners)
-    w, bias = np.zeros(len(top)), -4.0
-    g2, gb2 = np.full(len(top), 1e-8), 1e-8
+    w, c = np.zeros(len(top)), -4.0  # c: the learned chance, as a logit
+    g2, gc2 = np.full(len(top), 1e-8), 1e-8
     weight = np.where(y == 1, 0.5 / n1, 0.5 / n0)
     for step in range(steps):
-        z = bias + np.bincount(row, w[column], len(text))
-        a = np.bincount(text, np.logaddexp(0, z), n)
-        slope = np.where(y == 1, -1 / np.expm1(np.maximum(a, 1e-6)), 1.0) * weight
-        dz = slope[text] / (1 + np.exp(-z))
-        gw, gb = np.bincount(column, dz[row], len(top)), dz.sum()
-        g2, gb2 = g2 + gw * gw, gb2 + gb * gb
+        z = BACKGROUND + np.bincount(row, w[column], len(text))
+        a = np.logaddexp(0, c) + np.bincount(text, np.logaddexp(0, z) - np.logaddexp(0, BACKGROUND), n)
+        slope = np.where(y == 1, -1 / np.expm1(a), 1.0) * weight  # of the loss, by a
+        gw = np.bincount(column, (slope[text] / (1 + np.exp(-z)))[row], len(top))
+        gc = slope.sum() / (1 + np.exp(-c))
+        g2, gc2 = g2 + gw * gw, gc2 + gc * gc
         rate = 0.3 / np.sqrt(g2)
-        w = w - rate * gw
-        w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
-        bias = min(bias - 0.3 / np.sqrt(gb2) * gb, -3.0)
+        w = np.maximum(w - rate * (gw + l1), 0)
+        c -= 0.3 / np.sqrt(gc2) * gc
     full = np.zeros(m + 1, np.float32)
     full[top] = w
-    return Model(full, float(bias))
+    return Model(full, float(np.logaddexp(0, c)))
 
 
 def train(documents: DataFrame, labels: DataFrame, per_class: int = 1500, most_bytes: int = 32768, id_column: str = "doc_id", text_column: str = "text") -> Model:
@@ -166,7 +172,7 @@ def score_texts(documents: DataFrame, model: Model, id_column: str = "doc_id", t
         model = shared.value
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)
-            for a, b in slices(texts, 1 << 20):
+            for a, b in slices(texts, 1 << 19):
                 s = split(texts.slice(a, b - a))
                 score, each = model.score(s)
                 n = b - a
@@ -186,7 +192,7 @@ def score_texts(documents: DataFrame, model: Model, id_column: str = "doc_id", t
 
     kept = [id_column, *carry]
     kinds = ", ".join(f"{n} {documents.schema[c].dataType.simpleString()}" for n, c in zip(names, kept))
-    out = documents.select(*(F.col(c).alias(n) for n, c in zip(names, kept)), F.col(text_column).alias("t")).mapInArrow(run, f"{kinds}, score double, predicted int, n_offending long, worst_start long, worst_bytes long, worst_score double")
+    out = documents.select(*(F.col(c).alias(n) for n, c in zip(names, kept)), F.col(text_column).alias("t")).mapInArrow(tidy(run), f"{kinds}, score double, predicted int, n_offending long, worst_start long, worst_bytes long, worst_score double")
     return out.select(*(F.col(n).alias(c) for n, c in zip(names, kept)), "score", "predicted", "n_offending", "worst_start", "worst_bytes", "worst_score")
 
 
@@ -203,8 +209,8 @@ def keep_clean(documents: DataFrame, model: Model, text_column: str = "text", th
         model = shared.value
         for batch in batches:
             texts = batch.column(at)
-            for a, b in slices(texts, 1 << 20):
+            for a, b in slices(texts, 1 << 19):
                 score, _ = model.score(split(texts.slice(a, b - a)))
                 yield batch.slice(a, b - a).filter(pa.array(score < threshold))
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
