@@ -209,7 +209,10 @@ def test_training_never_sees_the_held_out_fold(spark):
     labels = spark.createDataFrame([(k, k % 2, 0) for k in range(500)] + [(None, 1, 1), (7, None, None)], "doc_id long, quality int, toxic int")
     ids = [r.id for r in sample_ids(labels, "quality", 1000).collect()]
     assert sorted(ids) == [k for k in range(500) if zlib.crc32(str(k).encode()) % 5]
-    assert len(sample_ids(labels, "quality", 20).collect()) <= 80
+    few = sample_ids(labels, "quality", 20).collect()
+    assert len(few) == 40 and few == sample_ids(labels.repartition(5), "quality", 20).collect()
+    twice = spark.createDataFrame([(1, 0, 0), (1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    assert {(r.id, r.y) for r in sample_ids(twice, "quality", 5).collect()} == {(1, 1), (2, 0)}
 
 
 def test_models_without_labels(spark, edge):
@@ -218,24 +221,94 @@ def test_models_without_labels(spark, edge):
     assert {r.score for r in quality_cnn.score_texts(edge, quality_cnn.train(edge, none)).collect()} == {1.0}
 
 
-def test_chunks_cover_the_whole_text():
-    import pyarrow as pa
-
-    rng = np.random.default_rng(3)
-    net = quality_cnn.Network(rng.normal(size=(512, 8)), rng.normal(size=(6, 8, 8)), np.zeros(8), rng.normal(size=16), 0.0)
-    text = "a" * 1000 + "Q" + "b" * 1000
-    lay = quality_cnn.lay_out(pa.array([text, "x"]))
-    pooled = net.pool(lay, net.tables())
-    padded = np.concatenate([quality_cnn.symbols(np.frombuffer(text.encode(), np.uint8)), np.zeros(5, int)])
-    each = np.stack([sum(net.embed[padded[k : k + len(text)]] @ net.kernel[k] for k in range(6))])[0]
-    assert np.allclose(net.combine(pooled, lay)[0, :8], np.maximum(each.max(0), 0), atol=1e-4)
-
-
-@pytest.mark.parametrize("bias", [-3.0, -3.9, -4.0, -6.0])
-def test_length_alone_is_never_toxic(bias):
+def random_network(seed=3):
+    rng = np.random.default_rng(seed)
+    q = quality_cnn
+    return q.Network(rng.normal(size=(q.SYMBOLS, q.CHANNELS)), rng.normal(size=(q.WIDTH, q.CHANNELS, q.FILTERS)) / 4, rng.normal(size=q.FILTERS), rng.normal(size=2 * q.FILTERS) / 9, 0.1)
+
+
+def plain_score(net, text):
+    """The network's score of one text, window by window."""
+    q = quality_cnn
+    raw = list((text or "").encode())
+    data = np.array(raw + [q.PADDING] * (q.WIDTH + 1))
+    n = max(1, len(raw))
+    windows = np.stack([sum(net.embed[data[p + k]] @ net.kernel[k] for k in range(q.WIDTH)) for p in range(n)])
+    chunks = [(0, min(n, q.CHUNK))]
+    while chunks[-1][1] < n:
+        a = chunks[-1][0] + q.STRIDE
+        chunks.append((a, min(n, a + q.CHUNK)))
+    pooled = np.stack([np.maximum(windows[a:b].max(0) + net.shift, 0) for a, b in chunks])
+    return 1 / (1 + np.exp(-(np.concatenate([pooled.max(0), pooled.mean(0)]) @ net.head + net.bias)))
+
+
+def test_network_against_a_plain_version_and_alone():
+    net, rng = random_network(), random.Random(12)
+    texts = ["xxxxxxxxx", "xxxxxxxxx", None, "", "a", "é" * 200, "a" * 1000 + "Q" + "b" * 1000, prose(rng, 40), prose(rng, 400), "y" * 256, "y" * 257, "xxxxxxxxx"]
+    got = net.score(pa.array(texts))
+    assert np.allclose(got, [plain_score(net, t) for t in texts], atol=1e-4)
+    for k, t in enumerate(texts):  # a neighbour changes nothing
+        assert np.isclose(net.score(pa.array([t], pa.string()))[0], got[k], rtol=1e-5)
+    assert quality_cnn.STRIDE < quality_cnn.CHUNK and len(set(np.round(got[[0, 1, 11]], 6))) == 1
+
+
+def test_gradients_against_differences():
+    net, rng = random_network(5), random.Random(13)
+    column, y = pa.array([prose(rng, n) for n in (3, 20, 90)]), np.array([1.0, 0.0, 1.0])
+    weight = np.array([1.0, 2.0, 0.5])
+
+    def loss(n):
+        p = np.array([plain_score(n, t) for t in column.to_pylist()])
+        return -(weight * (y * np.log(p) + (1 - y) * np.log(1 - p))).mean()
+
+    found = quality_cnn.gradients(net, column, y, weight)
+    pick = np.random.default_rng(1)
+    for name in ("kernel", "shift", "head", "embed"):
+        v = getattr(net, name)
+        for _ in range(8):
+            at = tuple(int(pick.integers(0, n)) for n in v.shape) if name != "embed" else (ord(pick.choice(list("aeht"))), int(pick.integers(0, 8)))
+            old, e = v[at], 1e-6
+            v[at] = old + e
+            up = loss(net)
+            v[at] = old - e
+            down = loss(net)
+            v[at] = old
+            assert np.isclose((up - down) / (2 * e), found[name][at], atol=2e-4), name
+
+
+def test_length_alone_is_never_toxic():
     s = toxicity_mil.split(pa.array(["A neutral sentence. " * 2000, "One."]))
-    model = toxicity_mil.Model(np.zeros((1 << toxicity_mil.BITS) + 1, np.float32), bias)
-    assert len(s.text) == 2001 and model.score(s)[0].max() == 0
+    model = toxicity_mil.Model(np.zeros((1 << toxicity_mil.BITS) + 1, np.float32), 0.02)
+    assert len(s.text) == 2001 and np.allclose(model.score(s)[0], 1 - np.exp(-0.02))
+
+
+def test_score_is_the_noisy_or_of_the_docstring():
+    rng = np.random.default_rng(6)
+    weights = np.append(np.maximum(rng.normal(0, 1, 1 << toxicity_mil.BITS), 0) * (rng.random(1 << toxicity_mil.BITS) < 0.1), 0).astype(np.float32)
+    model = toxicity_mil.Model(weights, 0.03)
+    texts = [prose(random.Random(k), n) for k, n in enumerate((1, 5, 30, 200))] + ["", None, "a\nb. c! d"]
+    got, each = model.score(toxicity_mil.split(pa.array(texts)))
+    q = 1 / (1 + np.exp(4.0))
+    for k, t in enumerate(texts):
+        alone = toxicity_mil.split(pa.array([t], pa.string()))
+        stays = np.exp(-0.03)
+        for j in range(len(alone.text)):
+            slots = alone.features[alone.sentence == j].ravel()
+            p = 1 / (1 + np.exp(4.0 - weights[slots[slots >= 0]].astype(float).sum()))
+            stays *= (1 - p) / (1 - q)
+        assert np.isclose(got[k], 1 - stays, atol=1e-5)
+
+
+def test_toxicity_fit_lowers_the_loss_of_its_law():
+    rows = labelled(300)
+    texts, y = [r[1] for r in rows], np.array([r[3] for r in rows], float)
+
+    def loss(model):
+        p = np.clip(model.score(toxicity_mil.split(pa.array(texts)))[0], 1e-9, 1 - 1e-9)
+        return -(np.where(y == 1, np.log(p) * 0.5 / y.sum(), np.log1p(-p) * 0.5 / (1 - y).sum())).sum()
+
+    steps = [loss(toxicity_mil.fit(texts, y, steps=n)) for n in (0, 5, 50, 300)]
+    assert steps == sorted(steps, reverse=True) and steps[-1] < 0.2 * steps[0]
 
 
 def test_shards_beside_a_large_group_are_even():

@@ -174,7 +174,7 @@ def test_leaks_against_brute_force(spark):
             p = decontaminate.plain(item)
             if p:
                 n, _ = distance_in(p, decontaminate.normalised(pa.array([text], pa.string()))[0].tobytes())
-                if n <= min(int(len(p) * 0.08), len(p) // 8 - 1):
+                if n <= int(len(p) * 0.08):
                     want[d, i] = n
         del t
     assert {k: r.distance for k, r in got.items()} == want and want
@@ -183,6 +183,17 @@ def test_leaks_against_brute_force(spark):
         assert distance_in(decontaminate.plain(items[i][1]), inside)[0] == r.distance
 
 
+def test_items_short_null_and_of_any_type(spark):
+    docs = [(0, "we concatenate a cat."), (1, "concatenate"), (2, "Cat"), (3, "a cat-like thing"), (4, "the thirteen lettrs"), (None, "cat"), (6, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    for kind, key in (("int", 5), ("string", "five"), ("double", 5.0), ("long", None)):
+        items = spark.createDataFrame([(key, "cat"), (key, "thirteen letters"[:15])], f"item_id {kind}, text string")
+        got = {(r.doc_id, r.distance) for r in decontaminate.find_leaks(df, items).collect() if r.item_id == key}
+        assert got == {(0, 0), (2, 0), (3, 0), (None, 0), (4, 1)}, kind  # whole words, and one edit in 15
+        few = {(r.doc_id, r.distance) for r in decontaminate.find_leaks(df, items, most_bytes=4).collect()}
+        assert few == got and decontaminate.keep_clean(df, items, most_bytes=4).count() == 2
+
+
 def test_leaks_of_nothing(empty, edge, spark):
     none = spark.createDataFrame([], "item_id long, text string")
     some = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
