@@ -37,18 +37,21 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that links connect: the one with the least id, and one row of it.
+    """One document of each group that links connect: the one with the least id.
 
-    Texts move only where ids repeat or where too many documents go to be
-    broadcast as ids; rows without id stay as they are.
+    Rows with the same id and text are one document; rows that share only the
+    id are documents of their own. Texts move only where documents repeat or
+    where too many go to be broadcast; rows without id stay as they are.
     """
-    docs = docs.select(*COLUMNS)
-    found = jaccard_join.jaccard_components(docs)
-    rest = written(found.where("component_id IS NOT NULL AND doc_id <> component_id").select("doc_id").distinct())
+    document = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    docs = docs.select(*COLUMNS).withColumn("document", document)
+    found = jaccard_join.jaccard_components(docs, "document")
+    rest = written(found.where("component_id IS NOT NULL AND document <> component_id").select("document").distinct())
     side = F.broadcast(rest) if rest.count() <= jaccard_join.BROADCAST_IDS else rest
-    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id IS NULL"))
-    return docs.join(side, "doc_id", "left_anti").select(*COLUMNS)
+    some = docs.where("document IS NOT NULL")
+    if some.groupBy("document").count().where("count > 1").limit(1).count():
+        docs = some.dropDuplicates(["document"]).unionByName(docs.where("document IS NULL"))
+    return docs.join(side, "document", "left_anti").select(*COLUMNS)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
