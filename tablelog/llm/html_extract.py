@@ -29,6 +29,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from tablelog.llm.textbuf import tidy
+
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^"'>])*+|[^>]*)>""", re.DOTALL)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
 _HIDDEN = re.compile(r"""\bhidden\b(?!\s*=\s*["']?false)|display\s*:\s*none""", re.IGNORECASE)
@@ -192,5 +194,5 @@ def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["id", "url", "text", "n_chars"])
 
     kind = pages.schema[id_column].dataType.simpleString()
-    out = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")).mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+    out = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url"), F.col(html_column).alias("html")).mapInArrow(tidy(run), f"id {kind}, url string, text string, n_chars long")
     return out.withColumnsRenamed({"id": id_column, "url": url_column})

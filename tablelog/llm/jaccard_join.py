@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tablelog.llm.components import Forest, components
 from tablelog.llm.store import discard, partitions_for, spread_join, written
-from tablelog.llm.textbuf import mix64, shingle_sets, slices
+from tablelog.llm.textbuf import mix64, shingle_sets, slices, tidy
 
 _U = np.uint64
 #: Shingles and documents of a group, which one task opens at a time, and shingles of those that ask it in one task.
@@ -95,7 +95,7 @@ def _sets(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.binary())], names=["id", "n", "sig"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    return documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, n long, sig binary")
+    return documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(tidy(run), f"id {kind}, n long, sig binary")
 
 
 _BLOCK = "r int, tok binary, high binary, node binary, size binary, common binary, run binary"
@@ -161,7 +161,7 @@ def _common(documents: DataFrame, text_column: str) -> np.ndarray:
                 sets = shingle_sets(batch.column(0).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], names=["tok"])
 
-    found = some.mapInArrow(run, "tok long").groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, int(COMMON * SAMPLE))).select("tok")
+    found = some.mapInArrow(tidy(run), "tok long").groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") >= max(20, int(COMMON * SAMPLE))).select("tok")
     return np.sort(found.toArrow().column("tok").to_numpy().view(np.uint64))
 
 
@@ -430,9 +430,9 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     text = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(_common(documents, text_column))  # a hundred shingles a sampled document at most
     lists = written(
-        text.mapInArrow(_deal(n, shared), _BLOCK).repartition(n, "r").mapInArrow(_shared(n), _BLOCK)
-        .repartition(n, "r").mapInArrow(_prefixes(n), _BLOCK)
-        .repartition(n, "r").mapInArrow(_meet(n), "list long, members array<long>, scores array<long>, weight long, common boolean"))
+        text.mapInArrow(tidy(_deal(n, shared)), _BLOCK).repartition(n, "r").mapInArrow(tidy(_shared(n)), _BLOCK)
+        .repartition(n, "r").mapInArrow(tidy(_prefixes(n)), _BLOCK)
+        .repartition(n, "r").mapInArrow(tidy(_meet(n)), "list long, members array<long>, scores array<long>, weight long, common boolean"))
     shared.unpersist()
     classes = written(table.where("sig IS NOT NULL AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows")).mapInArrow(_with_node, f"node long, least {kind}, rows long, sig binary"))
     flat = lists.where(F.size("members") > 1).select("list", F.explode(F.arrays_zip("members", "scores")).alias("z"), F.col("members")[0].alias("leader"), "weight", "common").select("list", F.col("z.members").alias("node"), F.col("z.scores").alias("score"), "leader", "weight", "common")
@@ -445,7 +445,7 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     homes, guests = _homes(meeting, sets)
     present = homes.select("home", "node").unionByName(guests)
     opened = present.join(sets, "node").select("home", "node", "set").repartition(n, "home").sortWithinPartitions("home")
-    edges = written(opened.mapInArrow(_open_groups, "a long, b long"))
+    edges = written(opened.mapInArrow(tidy(_open_groups), "a long, b long"))
     labels = components(edges)
     meets = written(meeting.select("list", "node", "score").distinct().join(homes.select("node", "home", "n"), "node"))
     # whoever is not of a list's largest component asks every other group of the list
@@ -460,7 +460,7 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     asked = spread_join(homes.select("node", F.col("home").alias("at")), parts, "at").join(labels, "node", "left").select("at", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("asks"), "node", F.coalesce("label", "node").alias("label"))
     asks = spread_join(asking, parts, "at").select("at", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("asks"), "node", "label")
     dealt = asked.unionByName(asks).join(sets.select("node", "set"), "node").select("at", "part", "asks", "node", "label", "set").repartition(tasks, "at", "part").sortWithinPartitions("at", "part", "asks")
-    more = written(edges.union(dealt.mapInArrow(_ask_groups, "a long, b long")))
+    more = written(edges.union(dealt.mapInArrow(tidy(_ask_groups), "a long, b long")))
     discard(edges, labels, open_, meets, asking, parts, meeting, homes, sets)
     labels = components(more)
     found = written(_named(classes, labels))
@@ -511,4 +511,4 @@ def _sets_of(documents: DataFrame, classes: DataFrame, meeting: DataFrame, id_co
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.binary()))], names=["node", "n", "set"])
 
     source = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).join(side, "id").select("node", "text")
-    return source.mapInArrow(run, "node long, n long, set binary").dropDuplicates(["node"])
+    return source.mapInArrow(tidy(run), "node long, n long, set binary").dropDuplicates(["node"])

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from tablelog.llm.textbuf import tidy
 from tablelog.llm.units import encoder, pieces
 
 
@@ -163,7 +164,7 @@ class Packer:
         return rows
 
 
-def pack(documents: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", batch_tokens: int = 4_000_000) -> DataFrame:
+def pack(documents: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2, id_column: str = "doc_id", text_column: str = "text", batch_tokens: int = 2_000_000) -> DataFrame:
     """Per piece: id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
     `batch_tokens` bounds the left-over ids that a task holds. `size` must be a power of two.
@@ -201,5 +202,5 @@ def pack(documents: DataFrame, tokenizer: str, size: int = 4096, end_id: int = 2
             yield table(packer.drain(), kind)
 
     kind = documents.schema[id_column].dataType.simpleString()
-    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(tidy(run), f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
     return out.withColumnRenamed("id", id_column)

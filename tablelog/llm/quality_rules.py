@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tablelog.llm.labelled import labelled_rows
-from tablelog.llm.textbuf import WHITE, slices, span_hashes, text_buffer, window_hashes, words
+from tablelog.llm.textbuf import WHITE, slices, span_hashes, text_buffer, tidy, window_hashes, words
 
 _SYMBOL = np.zeros(256, np.int8)
 _SYMBOL[np.frombuffer(b"#*$%&|<>", np.uint8)] = 1
@@ -101,7 +101,7 @@ def count_texts(documents: DataFrame, id_column: str = "id", text_column: str =
 
     source = documents.select(*(F.col(c).alias(f"c{k}") for k, c in enumerate(kept)), F.col(text_column).alias("t"))
     kinds = [f"c{k} {documents.schema[c].dataType.simpleString()}" for k, c in enumerate(kept)]
-    out = source.mapInArrow(run, ", ".join([*kinds, *(f"{c} long" for c in COUNTS)]))
+    out = source.mapInArrow(tidy(run), ", ".join([*kinds, *(f"{c} long" for c in COUNTS)]))
     return out.select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(kept)), *COUNTS)
 
 

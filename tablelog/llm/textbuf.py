@@ -7,7 +7,9 @@ Null texts are empty texts.
 
 from __future__ import annotations
 
-from functools import lru_cache
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -48,6 +50,24 @@ def _powers(log2: int) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def tidy(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """`run` for a task, after which the worker gives back memory that it no longer uses; workers live on into other stages."""
+
+    @wraps(run)
+    def tidied(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            _powers.cache_clear()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except AttributeError:  # another C library
+                pass
+
+    return tidied
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, and where each begins (one offset more than texts)."""
     if isinstance(column, pa.ChunkedArray):
@@ -99,16 +119,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+#: Bytes of a buffer that are hashed at a time; only a longer single range takes more.
+_STRETCH = 1 << 18
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte range; equal ranges get equal hashes in every batch."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(max(16, int(len(data)).bit_length()))
-    total = np.empty(len(data) + 1, np.uint64)
-    total[0] = 0
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    h = (total[ends] - total[starts]) * down[starts]
-    return mix64(h + (ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each byte range, given in order of their starts; equal ranges get equal hashes in every batch."""
+    out = np.empty(len(starts), np.uint64)
+    a = 0
+    while a < len(starts):
+        b = max(a + 1, int(np.searchsorted(starts, starts[a] + _STRETCH)))
+        low, high = int(starts[a]), int(ends[a:b].max())
+        up, down = _powers(max(19, (high - low).bit_length()))
+        total = np.empty(high - low + 1, np.uint64)
+        total[0] = 0
+        np.cumsum(_BYTE[data[low:high]] * up[: high - low], out=total[1:])
+        size = ends[a:b] - starts[a:b]
+        out[a:b] = mix64((total[ends[a:b] - low] - total[starts[a:b] - low]) * down[starts[a:b] - low] + size.astype(np.uint64) * _U(0xD6E8FEB86659FD93))
+        a = b
+    return out
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:

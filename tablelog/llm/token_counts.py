@@ -22,6 +22,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from tablelog.llm.textbuf import tidy
 from tablelog.llm.units import encoder, pieces
 
 _WHITE = frozenset(" \t\n\r\x0b\x0c")
@@ -85,5 +86,5 @@ def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 1024, id_col
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_bytes), pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = documents.schema[id_column].dataType.simpleString()
-    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(run, f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    out = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).mapInArrow(tidy(run), f"id {kind}, n_bytes long, n_tokens long, over_limit boolean")
     return out.withColumnRenamed("id", id_column)

@@ -205,7 +205,7 @@ class UnitEncoder:
         return self.flat[at].astype(np.uint32), np.concatenate([[0], ends])[before]
 
 
-def encoder(path: str, ids: bool = False, keep: int = 1_000_000) -> UnitEncoder:
+def encoder(path: str, ids: bool = False, keep: int = 400_000) -> UnitEncoder:
     """The process-wide encoder of a file; `keep` bounds the units it remembers.
 
     Raises ValueError for a tokenizer to which the proof of the cuts does not apply.
@@ -226,7 +226,7 @@ def encoder(path: str, ids: bool = False, keep: int = 1_000_000) -> UnitEncoder:
     return _ENCODERS[key]
 
 
-def pieces(column: pa.Array, limit: int = 4 << 20):
+def pieces(column: pa.Array, limit: int = 1 << 20):
     """The batch in runs of rows of about `limit` bytes."""
     for a, b in slices(column, limit):
         yield a, b, column.slice(a, b - a)
