@@ -23,8 +23,9 @@ from __future__ import annotations
 
 import html as references
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -71,11 +72,18 @@ def _marked(attributes: str) -> int:
     return mark
 
 
-def blocks(page: str) -> list[tuple[str, str, bool, int]]:
-    """(tag path, text, inside article or main, mark) of every block with text, in page order; OTHER is left only where nothing lifts it or other text is there."""
-    stack: list[tuple[str, bool, int, bool]] = []  # tag, article or main so far, mark so far, article or main within the mark
+@lru_cache(maxsize=64)
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(f"</{re.escape(tag)}", re.IGNORECASE | re.ASCII)
+
+
+def blocks(page: str) -> list[tuple[int, str, bool, int]]:
+    """(tag path as a number, text, inside article or main, mark) of every block with text, in page order; OTHER is left only where nothing lifts it or other text is there."""
+    stack: list[tuple[str, bool, int, bool, int]] = []  # tag, article or main so far, mark so far, article or main within the mark, path
+    paths: dict[tuple[int, str], int] = {}  # a path is the one above it and a tag
+    open_: Counter = Counter()
     parts: list[str] = []
-    out: list[tuple[str, str, bool, int]] = []
+    out: list[tuple[int, str, bool, int]] = []
     spare: list[int] = []  # blocks to lift if no other is left
 
     def flush() -> None:
@@ -83,23 +91,31 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
             text = _SPACE.sub(" ", references.unescape("".join(parts))).strip()
             parts.clear()
             if text:
-                inside, mark, lifts = stack[-1][1:] if stack else (False, NONE, False)
+                inside, mark, lifts, path = stack[-1][1:] if stack else (False, NONE, False, 0)
                 if mark in (WORD, OTHER) and (lifts or len(text) >= LONG):
                     if mark == OTHER:
                         spare.append(len(out))
                     else:
                         mark = NONE
-                out.append(("/".join(s[0] for s in stack), text, inside, mark))
+                out.append((path, text, inside, mark))
+
+    def pop() -> None:
+        open_[stack.pop()[0]] -= 1
 
-    def close(tag: str, within: int = 0) -> None:
-        for k in range(len(stack) - 1, within - 1, -1):
+    def close(tag: str, within: tuple[str, ...] = ()) -> None:
+        """End the innermost `tag`, unless one of `within` is opened in it."""
+        if not open_[tag]:
+            return
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] in within:
+                return
             if stack[k][0] == tag:
                 flush()
-                del stack[k:]
+                while len(stack) > k:
+                    pop()
                 return
 
     at, size = 0, len(page)
-    lower = None
     while at < size:
         m = _TOKEN.search(page, at)
         if not m:
@@ -113,9 +129,8 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
         tag = m[2].lower()
         if tag in RAW:
             if not m[1] and not m[3].endswith("/"):
-                lower = lower if lower is not None else page.lower()
-                end = lower.find(f"</{tag}", at)
-                stop = page.find(">", end) if end >= 0 else -1
+                end = _raw_end(tag).search(page, at)
+                stop = page.find(">", end.start()) if end else -1
                 at = stop + 1 if stop >= 0 else size
             continue
         if tag == "br":
@@ -127,11 +142,10 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
             close(tag)
             continue
         if stack and stack[-1][0] == "p":
-            stack.pop()  # a block ends an open paragraph
+            pop()  # a block ends an open paragraph
         for other in _CLOSES.get(tag, ()):
-            lists = max((k + 1 for k, s in enumerate(stack) if s[0] in ("ul", "ol", "dl", "table", "select", "menu")), default=0)
-            close(other, lists)
-        inside, mark, lifts = stack[-1][1:] if stack else (False, NONE, False)
+            close(other, ("ul", "ol", "dl", "table", "select", "menu"))
+        inside, mark, lifts, path = stack[-1][1:] if stack else (False, NONE, False, 0)
         if tag in BOILERPLATE or tag == "header" and not inside:
             own = FIRM
         else:
@@ -142,9 +156,10 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
             lifts = False
         if own and mark == WORD and stack[-1][3]:
             mark = NONE  # lifted already; only the new mark holds
-        stack.append((tag, inside or tag in ("article", "main"), max(mark, own), lifts))
+        stack.append((tag, inside or tag in ("article", "main"), max(mark, own), lifts, paths.setdefault((path, tag), len(paths) + 1)))
+        open_[tag] += 1
         if m[3].endswith("/"):
-            stack.pop()
+            pop()
     flush()
     if all(b[3] for b in out):
         for k in spare:
@@ -155,7 +170,7 @@ def blocks(page: str) -> list[tuple[str, str, bool, int]]:
 def main_text(page: str | None, threshold: float = 0.35) -> str:
     """The blocks of content paths, joined by two line feeds."""
     found = blocks(page) if page else []
-    paths: dict[tuple[str, bool, int], list[str]] = defaultdict(list)
+    paths: dict[tuple[int, bool, int], list[str]] = defaultdict(list)
     for path, text, inside, mark in found:
         paths[path, inside, mark].append(text)
     live = [p for p in paths if not p[2]]
@@ -176,11 +191,10 @@ def _smooth(v: list[float]) -> list[float]:
 
 
 def _fused(length: list[float], marks: list[float]) -> list[float]:
-    out = []
+    """Both ratios smoothed, by the page's largest of each, in the middle; below 1."""
     a, b = _smooth(length), _smooth(marks)
-    for x, y in zip(a, b):
-        out.append((x / max(a) + (y / max(b) if max(b) else x / max(a))) / 2 * 0.999)
-    return out
+    most, dots = max(a), max(b)
+    return [(x / most + (y / dots if dots else x / most)) / 2 * 0.999 for x, y in zip(a, b)]
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
