@@ -1,12 +1,13 @@
-"""Token counts of whole documents; huge ones by overlap resynchronisation.
+"""Token counts of whole documents by overlap resynchronisation.
 
-A document of more than `huge` characters is encoded in overlapping chunks with
-offsets. Two neighbouring encodings are spliced at the last boundary that both
-have inside the overlap and that is proven stable (a visible character before
-it, ASCII white space after it: no pre-token runs across, none behind it looks
-back). Where the overlap has no such boundary it is widened, at most to the
-whole chunk, and then the chunk itself grows. Other documents go through the
-remembered units of tablelog.llm.units. Both give the library's own counts.
+Every document is encoded by the library that its tokenizer file belongs to, in
+chunks of `chunk` characters; one that fits a single chunk needs no more. The
+chunks of a longer one overlap and are encoded with offsets. Two neighbouring
+encodings are spliced at the last boundary that both have inside the overlap
+and that is proven stable (a visible character before it, ASCII white space
+after it: no pre-token runs across, none behind it looks back). Where the
+overlap has no such boundary it is widened, at most to the whole chunk, and
+then the chunk itself grows.
 
 Defined results: a null text counts as empty (0 bytes, 0 tokens); a null id
 stays null; repeated rows give repeated results; an empty table gives an empty
@@ -23,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from tablelog.llm.textbuf import tidy
-from tablelog.llm.units import encoder, pieces
+from tablelog.llm.units import library, pieces
 
 _WHITE = frozenset(" \t\n\r\x0b\x0c")
 
@@ -34,7 +35,7 @@ def proven(text: str, at: int) -> bool:
     return text[at] in _WHITE and not before.isspace() and not "\x1c" <= before <= "\x1f" and before != "\x85"
 
 
-def spliced_count(tokenizer, text: str, chunk: int = 8192, overlap: int = 512) -> int:
+def spliced_count(tokenizer, text: str, chunk: int = 4096, overlap: int = 256) -> int:
     """The token count of `text` from overlapping chunks.
 
     `starts` are the token starts of the chunk at hand from `done` on, where the
@@ -68,21 +69,20 @@ def spliced_count(tokenizer, text: str, chunk: int = 8192, overlap: int = 512) -
     return total + len(starts)
 
 
-def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text", huge: int = 32768, chunk: int = 8192, overlap: int = 512) -> DataFrame:
+def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text", chunk: int = 4096, overlap: int = 256) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = encoder(tokenizer)
+        known = library(tokenizer)
         for batch in batches:
             for a, b, texts in pieces(batch.column(1)):
                 n_bytes = np.asarray(pc.binary_length(texts.fill_null("")), np.int64)
-                long = np.asarray(pc.utf8_length(texts.fill_null("")), np.int64) > huge
+                long = np.asarray(pc.utf8_length(texts.fill_null("")), np.int64) > chunk
                 tokens = np.zeros(b - a, np.int64)
-                short = texts.filter(pa.array(~long))
-                if len(short):
-                    tokens[~long] = known.counts(short)
+                whole = texts.fill_null("").filter(pa.array(~long)).to_pylist()
+                tokens[~long] = [len(e.ids) for e in known.encode_batch_fast(whole, add_special_tokens=False)]
                 for k in np.flatnonzero(long):
-                    tokens[k] = spliced_count(known.tokenizer, texts[int(k)].as_py(), chunk, overlap)
+                    tokens[k] = spliced_count(known, texts[int(k)].as_py(), chunk, overlap)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_bytes), pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = documents.schema[id_column].dataType.simpleString()

@@ -14,6 +14,7 @@ import json
 import os
 import re
 import unicodedata
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -97,15 +98,10 @@ class UnitEncoder:
     numpy arrays, at most `keep` of them; a full memory starts afresh.
     """
 
-    def __init__(self, path: str, spec: dict, dropped: bool, ids: bool, keep: int):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.no_truncation()
-        self.tokenizer.no_padding()
+    def __init__(self, path: str, spec: dict, dropped: bool, keep: int):
+        self.tokenizer = library(path)
         self.merger = _Merger(spec, dropped)
-        self.lower, self.ids, self.keep = dropped, ids, keep
+        self.lower, self.keep = dropped, keep
         self._forget()
 
     def _forget(self) -> None:
@@ -153,13 +149,12 @@ class UnitEncoder:
         n, new = self.known, np.fromiter(map(len, got), np.int64, len(got))
         self._grow("length", n + len(got))
         self.length[n : n + len(got)] = new
-        if self.ids:
-            flat = np.fromiter((i for g in got for i in g), np.int64, int(new.sum()))
-            self._grow("first", n + len(got))
-            self._grow("flat", self.used + len(flat))
-            self.first[n : n + len(got)] = self.used + np.cumsum(new) - new
-            self.flat[self.used : self.used + len(flat)] = flat
-            self.used += len(flat)
+        flat = np.fromiter((i for g in got for i in g), np.int64, int(new.sum()))
+        self._grow("first", n + len(got))
+        self._grow("flat", self.used + len(flat))
+        self.first[n : n + len(got)] = self.used + np.cumsum(new) - new
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
         self.known += len(got)
         if 2 * self.known > 1 << self.bits:
             used = self.keys != 0
@@ -191,11 +186,6 @@ class UnitEncoder:
             place[missing] = n + back
         return place, np.searchsorted(starts, offsets)
 
-    def counts(self, column: pa.Array) -> np.ndarray:
-        place, before = self._units(column)
-        total = np.concatenate([[0], np.cumsum(self.length[place], dtype=np.int64)])
-        return total[before[1:]] - total[before[:-1]]
-
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch as unsigned 32-bit, and where each text's begin."""
         place, before = self._units(column)
@@ -205,25 +195,45 @@ class UnitEncoder:
         return self.flat[at].astype(np.uint32), np.concatenate([[0], ends])[before]
 
 
-def encoder(path: str, ids: bool = False, keep: int = 400_000) -> UnitEncoder:
-    """The process-wide encoder of a file; `keep` bounds the units it remembers.
+@lru_cache(maxsize=2)
+def supported(path: str) -> tuple[dict, bool]:
+    """The file's content, and whether it drops white space.
 
     Raises ValueError for a tokenizer to which the proof of the cuts does not apply.
     """
-    key = (path, ids, keep)
-    if key not in _ENCODERS:
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
-        steps = pre.get("pretokenizers", [pre])
-        byte_level = steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space")
-        dropped = steps[0].get("type") == "Split" and steps[0].get("invert") and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
-        if not (byte_level or dropped) or model["type"] != "BPE" or any(t["lstrip"] or t["rstrip"] or "<" not in t["content"] or " " in t["content"] for t in spec["added_tokens"]):
-            raise ValueError("units are proven for byte-level and white-space-dropping BPE only")
-        if ids and max(model["vocab"].values()) > 65535:
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    steps = pre.get("pretokenizers", [pre])
+    byte_level = steps[0].get("type") == "ByteLevel" and steps[0].get("use_regex") and not steps[0].get("add_prefix_space")
+    dropped = steps[0].get("type") == "Split" and steps[0].get("invert") and r"[^\s\p{L}\p{N}]+" in steps[0]["pattern"].get("Regex", "")
+    if not (byte_level or dropped) or model["type"] != "BPE" or any(t["lstrip"] or t["rstrip"] or "<" not in t["content"] or " " in t["content"] for t in spec["added_tokens"]):
+        raise ValueError("units are proven for byte-level and white-space-dropping BPE only")
+    return spec, bool(dropped)
+
+
+@lru_cache(maxsize=2)
+def library(path: str):
+    """The library's tokenizer of a file, whole texts and no padding; one thread."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    from tokenizers import Tokenizer
+
+    supported(path)
+    out = Tokenizer.from_file(path)
+    out.no_truncation()
+    out.no_padding()
+    return out
+
+
+def encoder(path: str, keep: int = 400_000) -> UnitEncoder:
+    """The process-wide encoder of a file; `keep` bounds the units it remembers."""
+    if (path, keep) not in _ENCODERS:
+        spec, dropped = supported(path)
+        if max(spec["model"]["vocab"].values()) > 65535:
             raise ValueError("ids of more than 16 bits")
-        _ENCODERS[key] = UnitEncoder(path, spec, bool(dropped), ids, keep)
-    return _ENCODERS[key]
+        _ENCODERS[path, keep] = UnitEncoder(path, spec, dropped, keep)
+        supported.cache_clear()
+    return _ENCODERS[path, keep]
 
 
 def pieces(column: pa.Array, limit: int = 1 << 20):
