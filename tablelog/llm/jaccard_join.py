@@ -165,7 +165,7 @@ def _common(documents: DataFrame, text_column: str) -> np.ndarray:
     return np.sort(found.toArrow().column("tok").to_numpy().view(np.uint64))
 
 
-def _deal(n: int, shared, hold: int = 500_000):
+def _deal(n: int, shared, hold: int = 250_000):
     """Texts to blocks of (shingle, class), dealt by shingle; a task sends each set once.
 
     Receivers from n on are those of salted lists: there go the common shingles
@@ -194,7 +194,7 @@ def _deal(n: int, shared, hold: int = 500_000):
 
         waiting = 0
         for batch in batches:
-            for a, b in slices(batch.column(0)):
+            for a, b in slices(batch.column(0), 1 << 19):
                 for s in shingle_sets(batch.column(0).slice(a, b - a)):
                     sig = digest(s)
                     if not len(s) or sig in seen:
@@ -424,7 +424,7 @@ def _homes(meeting: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id reachable by links)."""
-    n = partitions_for(documents)
+    n = partitions_for(documents, 4 << 20)
     table = written(_sets(documents, id_column, text_column))
     kind = table.schema["id"].dataType.simpleString()
     text = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"))
