@@ -30,7 +30,7 @@ def word_bpe():
 
 
 def test_token_counts_are_the_librarys(edge, edge_rows, byte_bpe):
-    got = sorted(map(tuple, token_counts.count_tokens(edge, tokenizer_path("byte_bpe_50k.json"), huge=2000, chunk=700, overlap=24).collect()), key=repr)
+    got = sorted(map(tuple, token_counts.count_tokens(edge, tokenizer_path("byte_bpe_50k.json"), chunk=700, overlap=24).collect()), key=repr)
     want = []
     for r in edge_rows:
         t = r[1] or ""
@@ -286,3 +286,46 @@ def test_colliding_digests_are_told_apart(tmp_path, monkeypatch):
 
 
 assert WORDS
+
+
+def test_ratios_decide_on_pages_without_article():
+    """Against a plain table of paths: mean length and punctuation, smoothed, fused, one threshold."""
+    rng = random.Random(31)
+    kept_some = dropped_some = 0
+    for _ in range(60):
+        made = []  # (path, text)
+        body = []
+        for k in range(rng.randint(2, 7)):
+            outer = rng.choice(["div", "section", "table/tbody/tr/td", "center"])
+            inner = rng.choice(["p", "div", "blockquote", "ul/li"])
+            words = rng.choice([2, 3, 40, 90])
+            tags = [*outer.split("/"), *inner.split("/")]
+            part = "".join(f"<{x}>" for x in tags[:-1])
+            for _ in range(rng.randint(1, 4)):
+                text = prose(rng, words) + rng.choice(["", ".", ", and."])
+                made.append(("/".join(["html", "body", *tags]), text))
+                part += f"<{tags[-1]}>{text}</{tags[-1]}>"
+            body.append(part + "".join(f"</{x}>" for x in reversed(tags[:-1])))
+        paths = list(dict.fromkeys(p for p, _ in made))
+        table = []
+        for p in paths:
+            own = [x for q, x in made if q == p]
+            table.append((sum(map(len, own)) / len(own), sum(len(re.findall(r"[.,;:!?]", x)) for x in own) / len(own)))
+        smooth = []
+        for k in range(len(paths)):
+            near = [table[max(k - 1, 0)], table[k], table[k], table[min(k + 1, len(paths) - 1)]]
+            smooth.append((sum(x for x, _ in near) / 4, sum(y for _, y in near) / 4))
+        most, dots = max(x for x, _ in smooth), max(y for _, y in smooth)
+        keep = {p for p, (x, y) in zip(paths, smooth) if (x / most + (y / dots if dots else x / most)) / 2 * 0.999 >= 0.35}
+        want = "\n\n".join(x for p, x in made if p in keep)
+        assert html_extract.main_text("<html><body>" + "".join(body) + "</body></html>") == want
+        kept_some += bool(keep)
+        dropped_some += len(keep) < len(paths)
+    assert kept_some == 60 and dropped_some > 20
+
+
+def test_pages_of_odd_letters_and_great_depth():
+    odd = "\u0130" * 12
+    assert html_extract.main_text(f"<article><p>{odd}</p><script>var x=1;</SCRIPT ><p>after the script</p></article>") == f"{odd}\n\nafter the script"
+    assert len(html_extract.main_text("<article>" + "<div>deep" * 20000 + "</b></span></li><li>" * 2000)) == 20000 * 6 - 2
+    assert html_extract.main_text('<article><p>One.</p><div class="share-price">Shares rose 4 %.</div></article>') == "One.\n\nShares rose 4 %."
