@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from itertools import chain
+
+from pyspark.sql import DataFrame, SparkSession
 
 from tablelog.llm import decontaminate, html_extract, jaccard_join, packing, quality_cnn, quality_rules, sharding, token_counts, toxicity_mil, url_filter
 
 #: Rules of host and path prefix, and hosts whose pages are blocked where no rule speaks.
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 BLOCKED_HOSTS = ("spam-farm.example.com/", "spam-farm.example.net/", "spam-farm.example.org/")
+#: A list of the size that is common for advert hosts: n0.ads.example.net/ and on.
+ADVERT_HOSTS = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -22,7 +26,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES, BLOCKED_HOSTS)
+    return url_filter.judge_urls(_read(spark, sf_dir, "pages"), URL_RULES, chain(BLOCKED_HOSTS, (f"n{k}.ads.example.net/" for k in range(ADVERT_HOSTS))))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +97,7 @@ WITH rest AS (
   GROUP BY page_id
 )
 SELECT p.page_id, host, path, rule,
-       coalesce(action, CASE WHEN path LIKE '/%' AND regexp_matches(host, '(^|\.)spam-farm\.example\.(com|net|org)$') THEN 'block' ELSE 'allow' END) AS verdict
+       coalesce(action, CASE WHEN path LIKE '/%' AND regexp_matches(host, '(^|\.)(spam-farm\.example\.(com|net|org)|n(0|[1-9][0-9]{0,5})\.ads\.example\.net)$') THEN 'block' ELSE 'allow' END) AS verdict
 FROM parsed p LEFT JOIN fits f ON p.page_id = f.page_id
 """
 

@@ -329,3 +329,12 @@ def test_pages_of_odd_letters_and_great_depth():
     assert html_extract.main_text(f"<article><p>{odd}</p><script>var x=1;</SCRIPT ><p>after the script</p></article>") == f"{odd}\n\nafter the script"
     assert len(html_extract.main_text("<article>" + "<div>deep" * 20000 + "</b></span></li><li>" * 2000)) == 20000 * 6 - 2
     assert html_extract.main_text('<article><p>One.</p><div class="share-price">Shares rose 4 %.</div></article>') == "One.\n\nShares rose 4 %."
+
+
+def test_many_parts_of_a_large_list(spark):
+    hosts = [f"n{k}.ads.example.net/" for k in range(5000)]
+    urls = ["http://n17.ads.example.net/x", "http://a.n4999.ads.example.net/", "http://n5000.ads.example.net/", "http://n17.ads.example.net", "http://n1.ads.example.org/en/1", None]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").repartition(3)
+    for most in (64 << 20, 20_000):  # in one index, and in more than a dozen
+        got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge_urls(df, URL_RULES, hosts, most_bytes=most).collect()}
+        assert got == {0: (None, "block"), 1: (None, "block"), 2: (None, "allow"), 3: (None, "allow"), 4: ("example.org/en/1", "block"), 5: (None, "allow")}
