@@ -16,6 +16,7 @@ one; further columns, whatever their names, are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,50 +27,53 @@ from pyspark.sql import DataFrame, functions as F
 from tablelog.llm.textbuf import tidy
 from tablelog.llm.units import library, pieces
 
-_WHITE = frozenset(" \t\n\r\x0b\x0c")
+#: A place that may be proven stable: visible before, ASCII white space behind.
+_STABLE = re.compile(r"(?<=[^\s\x1c-\x1f\x85])[ \t\n\r\x0b\x0c]")
 
 
-def proven(text: str, at: int) -> bool:
-    """Whether a token boundary at `at` holds whatever stands further left or right."""
-    before = text[at - 1]
-    return text[at] in _WHITE and not before.isspace() and not "\x1c" <= before <= "\x1f" and before != "\x85"
+def _token_at(encoding, at: int) -> int | None:
+    """The number of the token that starts at character `at`, if one does."""
+    k = encoding.char_to_token(at)
+    return k if k is not None and encoding.token_to_chars(k)[0] == at else None
 
 
-def spliced_count(tokenizer, text: str, chunk: int = 4096, overlap: int = 256) -> int:
+def spliced_count(tokenizer, text: str, chunk: int = 8192, overlap: int = 256) -> int:
     """The token count of `text` from overlapping chunks.
 
-    `starts` are the token starts of the chunk at hand from `done` on, where the
-    count so far ends.
+    `held` encodes the text from `begin` to `end`; `total` counts the tokens
+    before its token `seen`, which starts where the last splice was.
     """
 
-    def encode(a: int, b: int) -> np.ndarray:
-        offsets = tokenizer.encode(text[a:b], add_special_tokens=False).offsets
-        return np.fromiter((x for x, _ in offsets), np.int64, len(offsets)) + a
+    def encode(a: int, b: int):
+        return tokenizer.encode(text[a:b], add_special_tokens=False)
 
-    n, total, done = len(text), 0, 0
+    n, total, done, begin, seen = len(text), 0, 0, 0, 0
     end = min(n, chunk)
-    starts = encode(0, end)
+    held = encode(0, end)
     while end < n:
         width = overlap
         while True:
-            begin = max(done, end - width)
-            after = min(n, end + chunk)
-            nxt = encode(begin, after)
-            inside = np.intersect1d(starts[starts > begin], nxt[(nxt > begin) & (nxt < end)])
-            at = next((p for p in inside[::-1].tolist() if proven(text, p)), None)
-            if at is not None or begin == done:
+            low, after = max(done, end - width), min(n, end + chunk)
+            following = encode(low, after)
+            spot = None
+            for m in reversed([m.start() for m in _STABLE.finditer(text, low + 1, end)]):
+                mine, its = _token_at(held, m - begin), _token_at(following, m - low)
+                if mine is not None and its is not None:
+                    spot = m
+                    break
+            if spot is not None or low == done:
                 break
             width *= 2
-        if at is None:  # no boundary in the whole chunk: the longer encoding replaces it
-            starts, end = nxt, after
+        if spot is None:  # no boundary in all that is left of the chunk: the longer encoding replaces it
+            held, begin, seen, end = following, low, 0, after
             chunk *= 2
             continue
-        total += int((starts < at).sum())
-        starts, done, end = nxt[nxt >= at], at, after
-    return total + len(starts)
+        total += mine - seen
+        held, begin, seen, done, end = following, low, its, spot, after
+    return total + len(held.ids) - seen
 
 
-def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text", chunk: int = 4096, overlap: int = 256) -> DataFrame:
+def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 1024, id_column: str = "doc_id", text_column: str = "text", chunk: int = 8192, overlap: int = 256) -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens, over_limit (n_tokens > limit)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,12 +81,15 @@ def count_tokens(documents: DataFrame, tokenizer: str, limit: int = 1024, id_col
         for batch in batches:
             for a, b, texts in pieces(batch.column(1)):
                 n_bytes = np.asarray(pc.binary_length(texts.fill_null("")), np.int64)
-                long = np.asarray(pc.utf8_length(texts.fill_null("")), np.int64) > chunk
-                tokens = np.zeros(b - a, np.int64)
-                whole = texts.fill_null("").filter(pa.array(~long)).to_pylist()
-                tokens[~long] = [len(e.ids) for e in known.encode_batch_fast(whole, add_special_tokens=False)]
-                for k in np.flatnonzero(long):
-                    tokens[k] = spliced_count(known, texts[int(k)].as_py(), chunk, overlap)
+                unlike = pc.dictionary_encode(texts.fill_null(""))  # equal texts of a batch are counted once
+                each, at = unlike.dictionary.to_pylist(), np.asarray(unlike.indices)
+                count = np.zeros(len(each), np.int64)
+                whole = [k for k, t in enumerate(each) if len(t) <= chunk]
+                count[whole] = [len(e) for e in known.encode_batch_fast([each[k] for k in whole], add_special_tokens=False)]
+                for k, t in enumerate(each):
+                    if len(t) > chunk:
+                        count[k] = spliced_count(known, t, chunk, overlap)
+                tokens = count[at]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n_bytes), pa.array(tokens), pa.array(tokens > limit)], names=["id", "n_bytes", "n_tokens", "over_limit"])
 
     kind = documents.schema[id_column].dataType.simpleString()
