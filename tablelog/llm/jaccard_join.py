@@ -112,6 +112,16 @@ def _runs(node: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.zeros(0, np.int64)
 
 
+def _narrow(v: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs: most blocks need one or two."""
+    most = int(v.max()) if len(v) else 0
+    return v.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32).tobytes()
+
+
+def _wide(raw: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(raw, {1: np.uint8, 2: np.uint16, 4: np.uint32}[len(raw) // n]).astype(np.uint32)
+
+
 def _blocks(r: np.ndarray, tok: np.ndarray, node: np.ndarray, size: np.ndarray, common: np.ndarray, high: np.ndarray) -> pa.RecordBatch | None:
     """One packed row for each receiver; size and common belong to the node."""
     if not len(r):
@@ -122,7 +132,7 @@ def _blocks(r: np.ndarray, tok: np.ndarray, node: np.ndarray, size: np.ndarray,
     rows: list[list] = [[] for _ in range(7)]
     for a, b in zip(cut, cut[1:]):
         first = _runs(node[a:b])
-        for out, v in zip(rows, (int(r[a]), tok[a:b].tobytes(), high[a:b].tobytes(), node[a:b][first].tobytes(), size[a:b][first].tobytes(), common[a:b][first].tobytes(), np.diff(np.append(first, b - a)).astype(np.uint32).tobytes())):
+        for out, v in zip(rows, (int(r[a]), tok[a:b].tobytes(), high[a:b].tobytes(), node[a:b][first].tobytes(), _narrow(size[a:b][first]), _narrow(common[a:b][first]), _narrow(np.diff(np.append(first, b - a))))):
             out.append(v)
     return pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int32()), *(pa.array(v, pa.binary()) for v in rows[1:])], names=["r", "tok", "high", "node", "size", "common", "run"])
 
@@ -137,9 +147,10 @@ def _unpack(batches: Iterator[pa.RecordBatch], n: int, tok_type, high_type) -> t
             salted.append(batch.filter(passing))
             batch = batch.filter(pc.invert(passing))
         for r, tok, high, node, size, common, run in zip(*(c.to_pylist() for c in batch.columns)):
-            run = np.frombuffer(run, np.uint32)
+            node = np.frombuffer(node, np.int64)
+            run, size, common = (_wide(v, len(node)) for v in (run, size, common))
             tok = np.frombuffer(tok, tok_type)
-            for out, v in zip(parts, (np.full(len(tok), r, np.uint32), tok, np.frombuffer(high, high_type), np.repeat(np.frombuffer(node, np.int64), run), np.repeat(np.frombuffer(size, np.uint32), run), np.repeat(np.frombuffer(common, np.uint32), run))):
+            for out, v in zip(parts, (np.full(len(tok), r, np.uint32), tok, np.frombuffer(high, high_type), np.repeat(node, run), np.repeat(size, run), np.repeat(common, run))):
                 out.append(v)
     kinds = (np.uint32, tok_type, high_type, np.int64, np.uint32, np.uint32)
     out = []
@@ -424,7 +435,7 @@ def _homes(meeting: DataFrame, sets: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id (the least id reachable by links)."""
-    n = partitions_for(documents, 4 << 20)
+    n = partitions_for(documents)
     table = written(_sets(documents, id_column, text_column))
     kind = table.schema["id"].dataType.simpleString()
     text = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"))
