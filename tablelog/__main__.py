@@ -1,4 +1,4 @@
-"""python -m tablelog ROOT: a prompt for read statements over a table store."""
+"""python -m tablelog ROOT: a prompt for statements over a table store."""
 
 from __future__ import annotations
 
@@ -22,7 +22,7 @@ def main(root: str) -> None:
         held += line
         if ";" in line:
             for _, result in connection.script(held):
-                print(f"error: {result}" if isinstance(result, Exception) else format_table(result))
+                print("ok" if result is None else f"error: {result}" if isinstance(result, Exception) else format_table(result))
             held = ""
 
 

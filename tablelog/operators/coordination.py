@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tablelog.functions.keys import ancestors, covers_key, overlaps
 
@@ -14,13 +14,23 @@ def _meets(a: DataFrame, b: DataFrame, a_prefix: str, b_prefix: str) -> DataFram
     return a_up.join(b.withColumn("_up", F.col(b_prefix)), "_up").drop("_up").unionByName(a.withColumn("_up", F.col(a_prefix)).join(b_up, "_up").drop("_up"))
 
 
+def _strongest(leases: DataFrame, now: int) -> DataFrame:
+    """Of each prefix and mode the last live lease of the two holders that hold it longest.
+
+    Whoever asks, the longest lease of another holder is one of the two. So a
+    request meets at most two leases a prefix and mode, however many there are.
+    """
+    last = leases.where(F.col("deadline") > now).groupBy("lease_prefix", "lease_mode", "holder").agg(F.max("deadline").alias("deadline"))
+    place = F.row_number().over(Window.partitionBy("lease_prefix", "lease_mode").orderBy(F.desc("deadline"), "holder"))
+    return last.withColumn("_place", place).where("_place <= 2").drop("_place")
+
+
 def lease_conflicts(requests: DataFrame, leases: DataFrame, now: int) -> DataFrame:
     """(request_id, retry_after): requests that a live lease of another device bars; two reads never bar each other.
 
     requests: request_id, device, mode, prefix. leases: lease_id, holder, lease_mode, lease_prefix, deadline.
     """
-    live = leases.where(F.col("deadline") > now)
-    met = _meets(requests, live, "prefix", "lease_prefix").where("device <> holder AND NOT (mode = 'read' AND lease_mode = 'read')")
+    met = _meets(requests, _strongest(leases, now), "prefix", "lease_prefix").where("device <> holder AND NOT (mode = 'read' AND lease_mode = 'read')")
     return met.groupBy("request_id").agg(F.max("deadline").alias("retry_after"))
 
 
@@ -49,8 +59,8 @@ def held_by(leases: DataFrame, device, now: int) -> DataFrame:
 
 def barred_writes(writes: DataFrame, leases: DataFrame, now: int) -> DataFrame:
     """Writes (write_id, device, prefix, wide) that a live lease of another device covers; wide writes also meet narrower leases."""
-    live = leases.where(F.col("deadline") > now)
-    met = _meets(writes, live, "prefix", "lease_prefix").where("device <> holder")
+    live = leases.where(F.col("deadline") > now).groupBy("lease_prefix").agg(F.min("holder").alias("first"), F.max("holder").alias("last"))
+    met = _meets(writes, live, "prefix", "lease_prefix").where("device <> first OR device <> last")
     return met.where(F.col("wide") | covers_key(F.col("lease_prefix"), F.col("prefix"))).select("write_id").distinct()
 
 

@@ -168,11 +168,16 @@ def moves(changes: DataFrame, keys: list[str]) -> DataFrame:
     return both.where(moved).select(*(F.col(f"before.{k}").alias(f"old_{k}") for k in keys), *(F.col(f"after.{k}").alias(f"new_{k}") for k in keys))
 
 
+#: The low 20 bits of an id count within a slot.
+IDS_PER_SLOT = 1 << 20
+
+
 def allocate_rowids(rows: DataFrame, column: str, device: int, slot: int, order: str) -> DataFrame:
     """Ids for rows without one: 16 bits of device, 27 of slot, 20 of offset in the rows' order.
 
     Numbers are given per range partition of the order and summed up across
-    partitions, so no single task sorts all rows. One slot has 1,048,576 ids.
+    partitions, so no single task sorts all rows. More rows than a slot has ids
+    run on into the next slots.
     """
     missing = rows.where(F.col(column).isNull()).repartitionByRange(F.col(order)).sortWithinPartitions(order)
     from tablelog.sources.tables import pinned

@@ -26,11 +26,18 @@ def through(log: DataFrame, cut: int | None) -> DataFrame:
     return log if cut is None else log.where(F.col("admission_seq") <= cut)
 
 
-def covering(log: DataFrame, keys: DataFrame) -> DataFrame:
-    """(key, covered): the order of the newest range delete that covers each distinct key."""
-    deletes = log.where("op = 'range_delete'").groupBy(F.col("range").alias("prefix")).agg(F.max(_order()).alias("covered"))
-    up = keys.select("key", F.explode(ancestors(F.col("key"))).alias("prefix"))
-    return up.join(deletes, "prefix").groupBy("key").agg(F.max("covered").alias("covered"))
+def _covered(log: DataFrame, keyed: DataFrame, what: Column, name: str) -> DataFrame:
+    """`keyed` (one row a key) with the greatest `what` of the range deletes that cover its key, else null.
+
+    The empty prefix covers every key, so it would be one hot key of the join:
+    its greatest `what` is a single value and comes as a scalar subquery.
+    """
+    deletes = log.where("op = 'range_delete'")
+    everything = deletes.where(F.size("range") == 0).agg(what.alias(name)).scalar()
+    per_prefix = deletes.where(F.size("range") > 0).groupBy(F.col("range").alias("prefix")).agg(what.alias(name))
+    up = keyed.select("key", F.explode(ancestors(F.col("key"))).alias("prefix")).where(F.size("prefix") > 0)
+    met = up.join(per_prefix, "prefix").groupBy("key").agg(F.max(name).alias(name))
+    return keyed.join(met, "key", "left").withColumn(name, F.greatest(F.col(name), everything))
 
 
 def newest_points(log: DataFrame) -> DataFrame:
@@ -43,8 +50,7 @@ def newest_points(log: DataFrame) -> DataFrame:
 def visible(log: DataFrame, cut: int | None = None) -> DataFrame:
     """(key, value, device, ver, admission_seq) of every live key at the cut."""
     log = through(log, cut)
-    points = newest_points(log).where("op = 'set'")
-    rows = points.join(covering(log, points.select("key")), "key", "left")
+    rows = _covered(log, newest_points(log).where("op = 'set'"), F.max(_order()), "covered")
     return rows.where("covered IS NULL OR at > covered").select("key", "value", "device", "ver", F.col("at.admission_seq").alias("admission_seq"))
 
 
@@ -121,9 +127,7 @@ def heads(log: DataFrame, depth: int) -> DataFrame:
 def version_floors(log: DataFrame) -> DataFrame:
     """Per key the greatest version of its own points and of the range deletes that cover it."""
     points = log.where("op <> 'range_delete'").groupBy("key").agg(F.max("ver").alias("own"))
-    deletes = log.where("op = 'range_delete'").groupBy(F.col("range").alias("prefix")).agg(F.max("ver").alias("ver"))
-    up = points.select("key", F.explode(ancestors(F.col("key"))).alias("prefix")).join(deletes, "prefix").groupBy("key").agg(F.max("ver").alias("cover"))
-    return points.join(up, "key", "left").select("key", F.greatest("own", "cover").alias("floor"))
+    return _covered(log, points, F.max("ver"), "cover").select("key", F.greatest("own", "cover").alias("floor"))
 
 
 def foreign_max(log: DataFrame, asserts: DataFrame) -> DataFrame:

@@ -7,10 +7,10 @@ Reads inside statements see what the transaction has staged.
 from __future__ import annotations
 
 import json
-import re
 import uuid
 from dataclasses import asdict
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tablelog.functions.values import VALUE_TYPE, spark_type
@@ -18,10 +18,14 @@ from tablelog.operators import changes as algebra
 from tablelog.operators import dml, integrity
 from tablelog.plans import statements as S
 from tablelog.plans.catalog import expression_columns, rename_in_expression
-from tablelog.plans.dialect import UnsupportedSql, to_spark
+from tablelog.plans.dialect import UnsupportedSql, bound, names, to_spark, views_read
 from tablelog.sources.tables import pinned
 
 
+#: A store has one chain of versions, so all its ids come from one device.
+DEVICE = 1
+
+
 class UnknownTable(Exception):
     """No such table."""
 
@@ -88,8 +92,8 @@ class Definition:
 class Executor:
     """Statements over the tables of one transaction (tablelog.plans.connection.Transaction)."""
 
-    def __init__(self, spark: SparkSession, txn, args: list | None = None):
-        self.spark, self.txn, self.args = spark, txn, list(args or [])
+    def __init__(self, spark: SparkSession, txn, args: list | dict | None = None):
+        self.spark, self.txn, self.args = spark, txn, args
 
     # --- catalog
     def definition(self, table: str) -> Definition:
@@ -112,35 +116,34 @@ class Executor:
         return self.definition(table).project(self.txn.table(table.lower()))
 
     def sql(self, text: str) -> DataFrame:
-        return self._views().sql(to_spark(self.bound(text)))
+        return self._session(text).sql(to_spark(text))
 
-    def _views(self) -> SparkSession:
-        """A session of its own in which every table of the transaction is a view."""
+    def views(self) -> dict[str, str]:
+        return {k[5:]: v for k, v in self.txn.entries().items() if k.startswith("view:") and v}
+
+    def _session(self, text: str) -> SparkSession:
+        """A session of its own with every table of the transaction, and the views that `text` reads."""
         from tablelog.sources.tables import moved_to
 
         session = self.spark.newSession()
         for name in self.defined():
             moved_to(session, self.rows(name)).createOrReplaceTempView(name)
+        views = self.views()
+        for name in views_read(text, views):
+            session.sql(to_spark(views[name])).createOrReplaceTempView(name)
         return session
 
-    def bound(self, text: str) -> str:
-        """`?` placeholders, in the order of the statement, as literals."""
-        left = iter(self.args)
-
-        def literal(v) -> str:
-            if v is None:
-                return "NULL"
-            if isinstance(v, (bytes, bytearray)):
-                return f"X'{bytes(v).hex()}'"
-            return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else repr(v)
-
-        return re.sub(r"'(?:[^']|'')*'|\?", lambda m: literal(next(left)) if m[0] == "?" else m[0], text)
-
     # --- statements
     def run(self, sql: str) -> DataFrame | None:
-        """Executes a statement; rows only for RETURNING."""
-        s = S.parse(self.bound(sql))
-        self.args = []
+        """Executes a statement; rows only for RETURNING. One that fails stages nothing."""
+        staged, catalog = dict(self.txn.staged), dict(self.txn.catalog)
+        try:
+            return self._run(S.parse(bound(sql, self.args)))
+        except Exception:
+            self.txn.staged, self.txn.catalog = staged, catalog
+            raise
+
+    def _run(self, s) -> DataFrame | None:
         if isinstance(s, S.CreateTable):
             self.create(s)
         elif isinstance(s, S.Drop):
@@ -221,6 +224,17 @@ class Executor:
         self.define(s.table, d)
 
     def alter(self, s: S.Alter) -> None:
+        """Changes a definition; refused where a view that reads the table would no longer be valid."""
+        views = self.views()
+        mine = [v for v in views if s.name.lower() in names(views[v]) or any(s.name.lower() in names(views[w]) for w in views_read(views[v], views))]
+        self._alter(s)
+        for v in mine:
+            try:
+                self.sql(views[v])
+            except AnalysisException as e:
+                raise UnsupportedSql(f"view {v} reads what {s.action} changes in {s.name}") from e
+
+    def _alter(self, s: S.Alter) -> None:
         d = self.definition(s.name)
         if s.action == "rename":
             if s.new.lower() == s.name.lower() or self.catalog(s.new):
@@ -288,7 +302,7 @@ class Executor:
             rows = rows.toDF(*given).withColumn("ordinal", F.monotonically_increasing_id())
         defaults = {c["name"]: F.expr(to_spark(c["default"])) for c in d.columns if c["default"]}
         table = self.rows(s.table)
-        rows = pinned(dml.with_defaults(rows, table, defaults))
+        rows = self._numbered(d, pinned(dml.with_defaults(rows, table, defaults)))
         for c in d.columns:
             policy = s.policy or c["not_null_conflict"]
             if c["not_null"] or c["name"] in d.key:
@@ -303,6 +317,21 @@ class Executor:
         done = self._upserted(d, table, rows, s.upserts) if s.upserts else self._inserted(d, table, rows, s.policy)
         return self.finish(s.table, d, done, s.returning)
 
+    def _numbered(self, d: Definition, rows: DataFrame) -> DataFrame:
+        """Rows whose INTEGER PRIMARY KEY is missing get ids; each statement takes slots of its own.
+
+        Slots are counted in the catalog, so writers that took the same ones
+        can't both commit.
+        """
+        if len(d.key) != 1 or not d.body.get("rowid", True) or d.column(d.key[0])["declared"] != "INTEGER":
+            return rows
+        missing = rows.where(F.col(d.key[0]).isNull()).count()
+        if not missing:
+            return rows
+        slot = int(self.txn.entry("rowid_slot") or 0)
+        self.txn.set_entry("rowid_slot", slot + 1 + (missing - 1) // dml.IDS_PER_SLOT)
+        return pinned(dml.allocate_rowids(rows, d.key[0], DEVICE, slot, "ordinal"))
+
     def _inserted(self, d: Definition, table: DataFrame, rows: DataFrame, policy: str | None) -> DataFrame:
         keys = [(k, policy or p) for k, p in d.keys()]
         kinds = {p for _, p in keys}

@@ -128,7 +128,9 @@ def range_assert_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.foreign_max(rows, asserts).select(F.col("assert_id").alias("u"), "foreign_seq")
 
 
-@_query()
+@_query(f"""WITH {LOG_SQL}, batch AS (
+  SELECT device, seq, sha256(concat_ws('|', op, CASE WHEN op = 'range_delete' THEN u ELSE u || '/' || e END, CASE WHEN op = 'set' THEN coalesce(CAST(value AS VARCHAR), '') ELSE '' END, CAST(seq AS VARCHAR))) AS content FROM log
+) SELECT device, list_reduce(list_prepend(repeat('0', 64), list(content ORDER BY seq)), lambda a, x: sha256(a || x)) AS checksum, count(*) AS batches FROM batch GROUP BY device""")
 def log_checksum_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.checksum_chain(event_log(spark, sf_dir))
 

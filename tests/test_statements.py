@@ -133,3 +133,53 @@ def test_one_of_many_writers_wins_a_version(spark, tmp_path):
             won = [v for v in pool.map(write, range(6)) if v is not None]
         assert won == [base + 1]
         assert len(store.manifest(base + 1)["catalog"]) == base + 1
+
+
+def test_ids_for_rows_without_one(db):
+    """Rows that give no number get one each, in order, and no later statement gives it again."""
+    db.execute("CREATE TABLE tides (no INTEGER PRIMARY KEY, at TEXT, depth REAL)")
+    db.execute("INSERT INTO tides (at, depth) VALUES ('low', 0.5), ('high', 6.5)")
+    db.execute("INSERT INTO tides VALUES (NULL, 'slack', 3.0), (77, 'spring', 7.5)")
+    got = rows(db, "SELECT no, at FROM tides ORDER BY no")
+    assert [at for _, at in got] == ["spring", "low", "high", "slack"] and len({no for no, _ in got}) == 4 and got[1][0] + 1 == got[2][0]
+    db.execute("CREATE TABLE marks (no INTEGER PRIMARY KEY, at TEXT) WITHOUT ROWID")
+    with pytest.raises(ConstraintError):
+        db.execute("INSERT INTO marks (at) VALUES ('low')")
+
+
+def test_views_in_writing_statements(db):
+    db.execute("CREATE TABLE wells (well INTEGER PRIMARY KEY, depth INTEGER, owner TEXT)")
+    db.execute("INSERT INTO wells VALUES (1, 30, 'ann'), (2, 80, 'bo'), (3, 95, 'cy')")
+    db.execute("CREATE VIEW deep AS SELECT well, depth FROM wells WHERE depth > 50")
+    db.execute("CREATE VIEW deepest AS SELECT well FROM deep WHERE depth > 90")
+    db.execute("CREATE TABLE visits (well INTEGER PRIMARY KEY, depth INTEGER)")
+    db.execute("INSERT INTO visits SELECT well, depth + 1 FROM deep")
+    db.execute("DELETE FROM visits WHERE well IN (SELECT well FROM deepest)")
+    assert rows(db, "SELECT * FROM visits") == [(2, 81)] and rows(db, "SELECT * FROM deepest") == [(3,)]
+
+    def work(t):
+        for change in ("DROP COLUMN depth", "RENAME COLUMN depth TO metres", "RENAME TO pits"):
+            with pytest.raises(UnsupportedSql):
+                t.execute(f"ALTER TABLE wells {change}")
+        t.execute("ALTER TABLE wells DROP COLUMN owner")
+
+    db.update(work)
+    assert rows(db, "SELECT * FROM wells ORDER BY well") == [(1, 30), (2, 80), (3, 95)]
+
+
+def test_parameters(db):
+    db.execute("CREATE TABLE p (k INTEGER PRIMARY KEY, v TEXT, w REAL)")
+    db.execute("INSERT INTO p VALUES (?2, ?1, ?), (:n, 'what?' /* ? */, NULL)", ["it's a \\ back", 4, 0.25, 9])
+    assert rows(db, "SELECT * FROM p ORDER BY k") == [(4, "it's a \\ back", 0.25), (9, "what?", None)]
+    db.execute("UPDATE p SET v = @v WHERE k = $k", {"v": "new", "$k": 9})
+    assert [tuple(r) for r in db.query("SELECT v FROM p WHERE k IN (?, ?1 + 5) AND w IS NULL", [4]).collect()] == [("new",)]
+    with pytest.raises(UnsupportedSql):
+        db.execute("DELETE FROM p WHERE k = ?3", [1])
+
+
+def test_scripts_write_and_pragmas_give_rows(db):
+    got = [r for _, r in db.script("CREATE TABLE q (a INTEGER PRIMARY KEY, b TEXT NOT NULL); CREATE UNIQUE INDEX only ON q (b, a); INSERT INTO q VALUES (1, 'x') RETURNING b; SELECT nope; PRAGMA index_info(only); PRAGMA user_version = 3; PRAGMA user_version")]
+    assert got[0] is None and got[1] is None and got[2].first().b == "x" and isinstance(got[3], Exception) and got[5] is None
+    assert [tuple(r) for r in got[4].collect()] == [(0, 1, "b"), (1, 0, "a")] and got[6].first()[0] == 3
+    assert [(r.name, r.notnull, r.hidden) for r in db.query("PRAGMA table_xinfo('q')").collect()] == [("a", 0, 0), ("b", 1, 0)]
+    assert db.query("PRAGMA table_info(nothing)").collect() == [] and [r.coll for r in db.query("PRAGMA index_xinfo(only)").collect()] == ["BINARY", "BINARY"]
