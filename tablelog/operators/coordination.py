@@ -81,10 +81,34 @@ def conflicts(footprints: DataFrame, history: DataFrame, serializable: bool = Tr
     """Transactions (txn, kind, prefix, frontier) that a later commit of another breaks.
 
     history: commit_seq, writer, region, wide. Reads count under serializable only.
+    A commit meets a prefix at or above its region, a wide one also those below.
     """
     mine = footprints if serializable else footprints.where("kind <> 'read'")
-    met = _meets(mine, history, "prefix", "region").where("commit_seq > frontier AND writer <> txn")
-    return met.where(F.col("wide") | covers_key(F.col("prefix"), F.col("region"))).groupBy("txn").agg(F.min("commit_seq").alias("first_conflict"))
+    asked = mine.select("txn", "frontier", F.col("prefix").alias("place"))
+    below = asked.select("txn", "frontier", F.explode(ancestors(F.col("place"))).alias("up"), "place").where(F.size("up") < F.size("place")).select("txn", "frontier", F.col("up").alias("place"))
+    commits = history.select("commit_seq", "writer", F.explode(ancestors(F.col("region"))).alias("place"))
+    spread = history.where("wide").select("commit_seq", "writer", F.col("region").alias("place"))
+    return _first_after(asked, commits).unionByName(_first_after(below, spread)).groupBy("txn").agg(F.min("commit_seq").alias("first_conflict"))
+
+
+def _first_after(asked: DataFrame, commits: DataFrame) -> DataFrame:
+    """(txn, commit_seq): the first commit at each place past the frontier that another than the transaction wrote.
+
+    An as-of lookup instead of a join: places are read from the newest commit
+    back, so it costs a sort of both sides, never their product. That first
+    commit is the next one, or, where the transaction wrote it itself, the next
+    one by another writer.
+    """
+    commits = commits.join(asked.select("place").distinct(), "place", "left_semi").select("place", "commit_seq", "writer").distinct()
+    newest = Window.partitionBy("place").orderBy(F.desc("commit_seq"), "writer")
+    starts = F.lag("writer").over(newest) != F.col("writer")  # of the next commit, where another wrote it
+    known = commits.withColumn("_next", F.lag("commit_seq").over(newest)).withColumn("_turn", F.when(starts, F.col("_next")))
+    other = F.last("_turn", ignorenulls=True).over(newest.rowsBetween(Window.unboundedPreceding, 0))
+    rows = known.select("place", F.col("commit_seq").alias("_at"), F.lit(0).alias("_asks"), F.struct("commit_seq", "writer", other.alias("other")).alias("_commit"), F.lit(None).cast(asked.schema["txn"].dataType).alias("txn"))
+    asks = asked.select("place", F.col("frontier").alias("_at"), F.lit(1).alias("_asks"), F.lit(None).cast(rows.schema["_commit"].dataType).alias("_commit"), "txn")
+    back = Window.partitionBy("place").orderBy(F.desc("_at"), F.desc("_asks"), "_commit.writer").rowsBetween(Window.unboundedPreceding, -1)
+    found = rows.unionByName(asks).withColumn("_commit", F.last("_commit", ignorenulls=True).over(back)).where("_asks = 1 AND _commit IS NOT NULL")
+    return found.select("txn", F.when(F.col("_commit.writer") != F.col("txn"), F.col("_commit.commit_seq")).otherwise(F.col("_commit.other")).alias("commit_seq")).where("commit_seq IS NOT NULL")
 
 
 def prune_history(history: DataFrame, oldest_pin: int) -> DataFrame:

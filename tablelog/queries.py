@@ -137,15 +137,16 @@ def log_checksum_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- coordination
 
-_LEASES = """leases AS (SELECT event_id AS lease_id, event_id % 4 AS holder, event_id % 2 AS rw, CAST(user_id AS VARCHAR) AS u, event_id AS deadline FROM events WHERE event_id % 5 = 0),
-requests AS (SELECT event_id AS request_id, event_id % 4 AS device, event_id % 2 AS rw, CAST(user_id AS VARCHAR) AS u, event_type AS e FROM events WHERE event_id % 5 = 1)"""
+_LEASES = """leases AS (SELECT event_id AS lease_id, (event_id // 2) % 3 AS holder, (event_id // 4) % 2 AS rw, CAST(user_id AS VARCHAR) AS u, event_id AS deadline FROM events WHERE event_id % 2 = 0),
+requests AS (SELECT event_id AS request_id, (event_id // 2) % 3 AS device, (event_id // 4) % 2 AS rw, CAST(user_id AS VARCHAR) AS u, event_type AS e FROM events WHERE event_id % 2 = 1)"""
 
 
 def _leases(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Every even event is a lease, every odd one a request."""
     e = _read(spark, sf_dir, "events")
-    mode, user = F.when(F.col("event_id") % 2 == 0, "read").otherwise("write"), F.col("user_id").cast("string")
-    leases = e.where("event_id % 5 = 0").select(F.col("event_id").alias("lease_id"), (F.col("event_id") % 4).alias("holder"), mode.alias("lease_mode"), F.array(user).alias("lease_prefix"), F.col("event_id").alias("deadline"))
-    requests = e.where("event_id % 5 = 1").select(F.col("event_id").alias("request_id"), (F.col("event_id") % 4).alias("device"), mode.alias("mode"), F.array(user, "event_type").alias("prefix"))
+    by, mode, user = F.expr("event_id div 2 % 3"), F.when(F.expr("event_id div 4 % 2") == 0, "read").otherwise("write"), F.col("user_id").cast("string")
+    leases = e.where("event_id % 2 = 0").select(F.col("event_id").alias("lease_id"), by.alias("holder"), mode.alias("lease_mode"), F.array(user).alias("lease_prefix"), F.col("event_id").alias("deadline"))
+    requests = e.where("event_id % 2 = 1").select(F.col("event_id").alias("request_id"), by.alias("device"), mode.alias("mode"), F.array(user, "event_type").alias("prefix"))
     return requests, leases
 
 
@@ -167,14 +168,19 @@ def footprint_antichain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coordination.antichain(f).select("txn", F.col("prefix")[0].alias("u"), F.coalesce(F.get("prefix", F.lit(1)), F.lit("*")).alias("e"))
 
 
-@_query("WITH f AS (SELECT event_id AS txn, event_id % 2 AS reads, user_id, event_id - 100 AS frontier FROM events WHERE event_id % 20 = 0), h AS (SELECT event_id AS commit_seq, event_id AS writer, user_id FROM events WHERE event_id % 4 = 1) SELECT f.txn, min(h.commit_seq) AS first_conflict FROM f JOIN h ON h.user_id = f.user_id AND h.commit_seq > f.frontier AND h.writer <> f.txn GROUP BY f.txn")
+@_query("SELECT f.event_id AS txn, min(h.event_id) AS first_conflict FROM events f JOIN events h ON h.user_id = f.user_id AND h.event_id > 2 * f.event_id - 60 AND h.event_id <> f.event_id GROUP BY f.event_id")
 def occ_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e, user = _read(spark, sf_dir, "events"), F.array(F.col("user_id").cast("string"))
-    footprints = e.where("event_id % 20 = 0").select(F.col("event_id").alias("txn"), F.lit("read").alias("kind"), user.alias("prefix"), (F.col("event_id") - 100).alias("frontier"))
-    history = e.where("event_id % 4 = 1").select(F.col("event_id").alias("commit_seq"), F.col("event_id").alias("writer"), F.array(F.col("user_id").cast("string"), "event_type").alias("region"), F.lit(False).alias("wide"))
+    """Every event is a transaction that read its user, and a commit to one key of that user."""
+    footprints, history = _commits(spark, sf_dir)
     return coordination.conflicts(footprints, history)
 
 
+def _commits(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    e, user = _read(spark, sf_dir, "events"), F.col("user_id").cast("string")
+    footprints = e.select(F.col("event_id").alias("txn"), F.lit("read").alias("kind"), F.array(user).alias("prefix"), (F.col("event_id") * 2 - 60).alias("frontier"))
+    return footprints, e.select(F.col("event_id").alias("commit_seq"), F.col("event_id").alias("writer"), F.array(user, "event_type").alias("region"), F.lit(False).alias("wide"))
+
+
 @_query(f"WITH {LOG_SQL}, b AS (SELECT seq, device, u, e, seq - 200 AS ver FROM log WHERE op <> 'range_delete' AND seq > 800), fl AS (SELECT u, e, max(seq) AS floor FROM log WHERE op <> 'range_delete' AND seq <= 800 GROUP BY u, e) SELECT DISTINCT device, b.seq AS device_seq, 'version regression' AS reason FROM b JOIN fl ON fl.u = b.u AND fl.e = b.e WHERE b.ver <= fl.floor UNION ALL SELECT device, min(seq), 'sequence gap' FROM b GROUP BY device HAVING max(seq) - min(seq) + 1 <> count(DISTINCT seq)")
 def admission_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_log(spark, sf_dir).where("op <> 'range_delete'")
@@ -586,15 +592,13 @@ def replica_submit_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return once(rows, rows.where("device_seq < 50"))
 
 
-@_query("WITH f AS (SELECT event_id AS txn, user_id, event_id - 100 AS frontier FROM events WHERE event_id % 20 = 0), h AS (SELECT event_id AS commit_seq, user_id FROM events WHERE event_id % 4 = 1), r AS (SELECT txn, CAST(row_number() OVER (ORDER BY txn) AS INTEGER) AS place FROM f) SELECT r.txn, r.place, CAST(floor((r.place - 1) / 32) AS BIGINT) AS grp, EXISTS (SELECT 1 FROM f JOIN h ON h.user_id = f.user_id AND h.commit_seq > f.frontier AND h.commit_seq <> f.txn WHERE f.txn = r.txn) AS refused FROM r")
+@_query("WITH r AS (SELECT event_id AS txn, user_id, CAST(row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS INTEGER) AS place FROM events), last AS (SELECT user_id, max(event_id) AS one, max(event_id) FILTER (event_id < top) AS two FROM (SELECT *, max(event_id) OVER (PARTITION BY user_id) AS top FROM events) t GROUP BY user_id) SELECT txn, place, CAST(floor((place - 1) / 32) AS BIGINT) AS grp, coalesce(CASE WHEN one = txn THEN two ELSE one END > 2 * txn - 60, false) AS refused FROM r JOIN last USING (user_id)")
 def group_commit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every event is proposed, in eight spaces, against the commits of all events."""
     from tablelog.operators import recursion
 
-    e, user = _read(spark, sf_dir, "events"), F.array(F.col("user_id").cast("string"))
-    own = e.where("event_id % 20 = 0")
-    footprints = own.select(F.col("event_id").alias("txn"), F.lit("read").alias("kind"), user.alias("prefix"), (F.col("event_id") - 100).alias("frontier"))
-    history = e.where("event_id % 4 = 1").select(F.col("event_id").alias("commit_seq"), F.col("event_id").alias("writer"), user.alias("region"), F.lit(False).alias("wide"))
-    proposals = own.select(F.col("event_id").alias("txn"), F.lit(0).alias("space"), F.col("event_id").alias("arrival"))
+    footprints, history = _commits(spark, sf_dir)
+    proposals = footprints.select("txn", (F.col("txn") % 8).alias("space"), F.col("txn").alias("arrival"))
     return recursion.group_commit(proposals, footprints, history).withColumnRenamed("group", "grp")
 
 

@@ -320,3 +320,43 @@ def test_excluded_frames(spark):
     peers = Window.partitionBy("v")
     got = {r.id: (r.a, r.b, r.c) for r in df.select("id", windows.sum_excluding_current(F.col("v"), frame).alias("a"), windows.sum_excluding_group(F.col("v"), frame, peers).alias("b"), windows.sum_excluding_ties(F.col("v"), frame, peers).alias("c")).collect()}
     assert got == {1: (3, 2, 3), 2: (3, 2, 3), 3: (2, 2, 4), 4: (4, 4, 4)}
+
+
+def test_first_conflicts_against_all_pairs(spark):
+    """Random prefixes, regions and frontiers, own commits and ties among them, against a loop over all pairs."""
+    import random
+
+    draw = random.Random(5)
+    prefix = lambda: [draw.choice("ab") for _ in range(draw.randrange(4))]
+    asked = [(draw.randrange(12), draw.choice(["read", "write"]), prefix(), draw.randrange(25)) for _ in range(150)]
+    done = [(draw.randrange(25), draw.randrange(12), prefix(), draw.random() < 0.4) for _ in range(60)]
+    f = spark.createDataFrame(asked, "txn long, kind string, prefix array<string>, frontier long")
+    h = spark.createDataFrame(done, "commit_seq long, writer long, region array<string>, wide boolean")
+    for serializable in (True, False):
+        want: dict = {}
+        for txn, kind, p, frontier in asked:
+            for seq, writer, region, wide in done:
+                if (serializable or kind == "write") and seq > frontier and writer != txn and (region[: len(p)] == p or (wide and p[: len(region)] == region)):
+                    want[txn] = min(seq, want.get(txn, seq))
+        assert {r.txn: r.first_conflict for r in coordination.conflicts(f, h, serializable).collect()} == want
+
+
+def test_lease_bars_against_all_pairs(spark):
+    import random
+
+    draw = random.Random(6)
+    prefix = lambda: [draw.choice("abc") for _ in range(draw.randrange(3))]
+    leases = [(k, draw.randrange(4), draw.choice(["read", "write"]), prefix(), draw.randrange(40)) for k in range(12)]
+    asked = [(k, draw.randrange(4), draw.choice(["read", "write"]), prefix()) for k in range(80)]
+    held = spark.createDataFrame(leases, "lease_id long, holder long, lease_mode string, lease_prefix array<string>, deadline long")
+    r = spark.createDataFrame(asked, "request_id long, device long, mode string, prefix array<string>")
+    near = lambda a, b: a[: len(b)] == b or b[: len(a)] == a
+    want = {}
+    for k, device, mode, p in asked:
+        until = [d for _, holder, m, q, d in leases if d > 10 and holder != device and near(p, q) and "write" in (m, mode)]
+        if until:
+            want[k] = max(until)
+    assert {x.request_id: x.retry_after for x in coordination.lease_conflicts(r, held, 10).collect()} == want
+    writes = r.selectExpr("request_id AS write_id", "device", "prefix", "mode = 'read' AS wide")
+    barred = {k for k, device, mode, p in asked if any(d > 10 and holder != device and (p[: len(q)] == q or (mode == "read" and near(p, q))) for _, holder, _, q, d in leases)}
+    assert {x.write_id for x in coordination.barred_writes(writes, held, 10).collect()} == barred
