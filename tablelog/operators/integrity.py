@@ -47,20 +47,26 @@ class Reference:
         self.on_delete, self.on_update, self.defaults = on_delete, on_update, defaults or {}
 
 
-def delete_cascade(tables: dict[str, DataFrame], references: list[Reference], table: str, doomed: DataFrame) -> dict[str, DataFrame]:
+def delete_cascade(tables: dict[str, DataFrame], references: list[Reference], table: str, doomed: DataFrame, key: list[str] | None = None) -> dict[str, DataFrame]:
     """All tables after deleting `doomed` rows of one, actions followed down the references.
 
     References form no cycle, so each level is a set of joins; nothing loops
-    over rows.
+    over rows. `key` tells the doomed rows of the first table; without one, all
+    of its columns do. Children are told by the columns that refer.
     """
+    names = key or tables[table].columns
+    gone = doomed.select(names).distinct()
+    rest = tables[table].join(gone, _null_safe(tables[table], gone, names), "left_anti")
+    return _delete_followed(tables | {table: rest}, references, table, doomed)
+
+
+def _delete_followed(tables: dict[str, DataFrame], references: list[Reference], table: str, doomed: DataFrame) -> dict[str, DataFrame]:
     out = dict(tables)
-    names = tables[table].columns
-    out[table] = tables[table].join(doomed.select(names).distinct(), _null_safe(tables[table], doomed, names), "left_anti")
     for ref in (r for r in references if r.parent == table):
         gone = doomed.select(*(F.col(p).alias(c) for p, c in zip(ref.parent_columns, ref.columns))).distinct()
         hit = out[ref.child].join(gone, ref.columns, "left_semi")
         if ref.on_delete == "cascade":
-            out = delete_cascade(out, references, ref.child, hit)
+            out = _delete_followed(out | {ref.child: out[ref.child].join(gone, ref.columns, "left_anti")}, references, ref.child, hit)
         elif ref.on_delete in ("set_null", "set_default"):
             marked = out[ref.child].join(gone.withColumn("_gone", F.lit(True)), ref.columns, "left")
             new = {c: (F.lit(ref.defaults[c]) if ref.on_delete == "set_default" and c in ref.defaults else F.lit(None)) for c in ref.columns}

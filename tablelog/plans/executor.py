@@ -458,8 +458,9 @@ class Executor:
         old = self.rows(table)
         new = pinned(algebra.apply(old, done, d.key))
         self.txn.put(table.lower(), d.store(new))
+        changed = done.where("after IS NOT NULL").select("after.*")  # rows that stay have had their parents
         for r in d.body["references"]:
-            if integrity.orphans(new, r["columns"], self.rows(r["parent"]), r["parent_columns"]).limit(1).count():
+            if integrity.orphans(changed, r["columns"], self.rows(r["parent"]), r["parent_columns"]).limit(1).count():
                 raise integrity.ConstraintError(f"FOREIGN KEY constraint failed: {table}")
         for child in self.defined():
             cd = self.definition(child)

@@ -294,14 +294,14 @@ def fk_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fk_cascade_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: _read(spark, sf_dir, t) for t in ("customer", "orders", "lineitem")}
     refs = [integrity.Reference("orders", ["o_custkey"], "customer", ["c_custkey"], "cascade"), integrity.Reference("lineitem", ["l_orderkey"], "orders", ["o_orderkey"], "cascade")]
-    return integrity.delete_cascade(tables, refs, "customer", tables["customer"].where("c_custkey % 10 = 0"))["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey")
+    return integrity.delete_cascade(tables, refs, "customer", tables["customer"].where("c_custkey % 10 = 0"), ["c_custkey"])["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey")
 
 
 @_query("SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN NULL ELSE o_custkey END AS o_custkey FROM orders")
 def fk_set_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {t: _read(spark, sf_dir, t) for t in ("customer", "orders")}
     refs = [integrity.Reference("orders", ["o_custkey"], "customer", ["c_custkey"], "set_null")]
-    return integrity.delete_cascade(tables, refs, "customer", tables["customer"].where("c_custkey % 10 = 0"))["orders"].select("o_orderkey", "o_custkey")
+    return integrity.delete_cascade(tables, refs, "customer", tables["customer"].where("c_custkey % 10 = 0"), ["c_custkey"])["orders"].select("o_orderkey", "o_custkey")
 
 
 @_query("SELECT o_orderkey, CASE WHEN o_custkey % 10 = 0 THEN o_custkey + 1000000 ELSE o_custkey END AS o_custkey FROM orders")
