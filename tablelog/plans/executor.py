@@ -18,7 +18,7 @@ from tablelog.operators import changes as algebra
 from tablelog.operators import dml, integrity
 from tablelog.plans import statements as S
 from tablelog.plans.catalog import expression_columns, rename_in_expression
-from tablelog.plans.dialect import UnsupportedSql, bound, names, to_spark, views_read
+from tablelog.plans.dialect import UnsupportedSql, bound, names, to_spark, unqualified, views_read
 from tablelog.sources.tables import pinned
 
 
@@ -314,7 +314,7 @@ class Executor:
         if s.policy == "ignore":
             for _, e in d.body["checks"]:
                 rows = rows.where(F.coalesce(F.expr(to_spark(e)), F.lit(True)))
-        done = self._upserted(d, table, rows, s.upserts) if s.upserts else self._inserted(d, table, rows, s.policy)
+        done = self._upserted(d, table, rows, s.upserts, s.alias or s.table) if s.upserts else self._inserted(d, table, rows, s.policy)
         return self.finish(s.table, d, done, s.returning)
 
     def _numbered(self, d: Definition, rows: DataFrame) -> DataFrame:
@@ -353,8 +353,8 @@ class Executor:
                 raise integrity.ConstraintError(f"UNIQUE constraint failed: {', '.join(k)}")
         return done
 
-    def _upserted(self, d: Definition, table: DataFrame, rows: DataFrame, clauses: list[S.Upsert]) -> DataFrame:
-        """Clauses in turn: each takes the candidates that meet its target; the rest go on."""
+    def _upserted(self, d: Definition, table: DataFrame, rows: DataFrame, clauses: list[S.Upsert], owner: str) -> DataFrame:
+        """Clauses in turn: each takes the candidates that meet its target; the rest go on. `owner` may qualify the current row's columns."""
         done, left = None, rows
         for u in clauses:
             targets = [[d.column(c)["name"] for c in u.target]] if u.target else [k for k, _ in d.keys()]
@@ -368,8 +368,8 @@ class Executor:
                 if u.sets is not None:
                     touched = hit.select(*t).distinct()
                     mine = left.join(touched, t, "left_semi").select(rows.columns)
-                    sets = {d.column(c)["name"]: to_spark(e) for c, e in u.sets.items()}
-                    new = dml.upsert(table, pinned(mine), t, sets, to_spark(u.where) if u.where else None)
+                    sets = {d.column(c)["name"]: to_spark(unqualified(e, owner)) for c, e in u.sets.items()}
+                    new = dml.upsert(table, pinned(mine), t, sets, to_spark(unqualified(u.where, owner)) if u.where else None)
                     done = new if done is None else done.unionByName(new)
                     left = pinned(left.join(touched, t, "left_anti").select(rows.columns))
                 else:

@@ -183,3 +183,14 @@ def test_scripts_write_and_pragmas_give_rows(db):
     assert [tuple(r) for r in got[4].collect()] == [(0, 1, "b"), (1, 0, "a")] and got[6].first()[0] == 3
     assert [(r.name, r.notnull, r.hidden) for r in db.query("PRAGMA table_xinfo('q')").collect()] == [("a", 0, 0), ("b", 1, 0)]
     assert db.query("PRAGMA table_info(nothing)").collect() == [] and [r.coll for r in db.query("PRAGMA index_xinfo(only)").collect()] == ["BINARY", "BINARY"]
+
+
+def test_upsert_names_its_row(db):
+    """The current row's columns under the statement's alias or the table's name, beside the candidate's."""
+    db.execute("CREATE TABLE stock (part INTEGER PRIMARY KEY, held INTEGER, note TEXT)")
+    db.execute("INSERT INTO stock VALUES (1, 10, 'a.b'), (2, 20, NULL)")
+    db.execute("INSERT INTO stock AS s (part, held) VALUES (1, 5), (2, 50), (3, 7) ON CONFLICT (part) DO UPDATE SET held = s.held - excluded.held, note = 's.held' WHERE \"s\".held >= excluded.held")
+    db.execute("INSERT INTO stock (part, held) VALUES (3, 1) ON CONFLICT (part) DO UPDATE SET held = stock.held + excluded.held")
+    assert rows(db, "SELECT * FROM stock ORDER BY part") == [(1, 5, "s.held"), (2, 20, None), (3, 8, None)]
+    with pytest.raises(UnsupportedSql):
+        db.execute("CREATE TABLE names (n TEXT COLLATE NOCASE PRIMARY KEY)")
