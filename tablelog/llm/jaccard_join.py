@@ -440,10 +440,11 @@ def jaccard_components(documents: DataFrame, id_column: str = "doc_id", text_col
     kind = table.schema["id"].dataType.simpleString()
     text = documents.where(F.col(id_column).isNotNull() & F.col(text_column).isNotNull()).select(F.col(text_column).alias("text"))
     shared = documents.sparkSession.sparkContext.broadcast(_common(documents, text_column))  # a hundred shingles a sampled document at most
+    # by id, as hashes of so few receivers would meet: some tasks would hold the blocks of several, others none
     lists = written(
-        text.mapInArrow(tidy(_deal(n, shared)), _BLOCK).repartition(n, "r").mapInArrow(tidy(_shared(n)), _BLOCK)
-        .repartition(n, "r").mapInArrow(tidy(_prefixes(n)), _BLOCK)
-        .repartition(n, "r").mapInArrow(tidy(_meet(n)), "list long, members array<long>, scores array<long>, weight long, common boolean"))
+        text.mapInArrow(tidy(_deal(n, shared)), _BLOCK).repartitionById(n, "r").mapInArrow(tidy(_shared(n)), _BLOCK)
+        .repartitionById(n, "r").mapInArrow(tidy(_prefixes(n)), _BLOCK)
+        .repartitionById(n, "r").mapInArrow(tidy(_meet(n)), "list long, members array<long>, scores array<long>, weight long, common boolean"))
     shared.unpersist()
     classes = written(table.where("sig IS NOT NULL AND id IS NOT NULL").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("rows")).mapInArrow(_with_node, f"node long, least {kind}, rows long, sig binary"))
     flat = lists.where(F.size("members") > 1).select("list", F.explode(F.arrays_zip("members", "scores")).alias("z"), F.col("members")[0].alias("leader"), "weight", "common").select("list", F.col("z.members").alias("node"), F.col("z.scores").alias("score"), "leader", "weight", "common")

@@ -96,6 +96,33 @@ def test_groups_smaller_than_their_families(spark, monkeypatch):
     assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == brute_components(rows)
 
 
+def test_each_receiver_has_a_task_of_its_own(spark, corpus, monkeypatch):
+    df = spark.createDataFrame(corpus, "doc_id long, text string")
+    n, held = 12, spark.conf.get("spark.sql.shuffle.partitions")
+
+    def alone(step):
+        def of(n):
+            run = step(n)
+
+            def watched(batches):
+                batches = list(batches)
+                receivers = {r % n for b in batches for r in b.column(0).to_pylist()}
+                assert len(receivers) <= 1, f"one task holds the blocks of receivers {sorted(receivers)}"
+                yield from run(iter(batches))
+
+            return watched
+
+        return of
+
+    for name in ("_shared", "_prefixes", "_meet"):
+        monkeypatch.setattr(jaccard_join, name, alone(getattr(jaccard_join, name)))
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        assert sorted(map(tuple, jaccard_join.jaccard_components(df).collect())) == brute_components(corpus)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held)
+
+
 def test_group_resolution_keeps_connectivity():
     rng = np.random.default_rng(1)
     for _ in range(30):
